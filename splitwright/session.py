@@ -36,16 +36,18 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def _scratch_root(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only when everything is one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="splitwright-")
-    spark.conf.set("spark.checkpoint.dir", "file://" + root)
-    return "file://" + root
+    _own[spark.sparkContext.applicationId] = root = "file://" + tempfile.mkdtemp(prefix="splitwright-")
+    return root
 
 
 class Workspace:
