@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_cnn import ByteCNN, as_array, windows
@@ -41,6 +41,8 @@ _BY_SPELLING = {s: code for code, spellings in SPELLINGS.items() for s in spelli
 #: Bounds of the training sample: documents a language, sentences a document.
 SAMPLE_DOCUMENTS = 300
 SAMPLE_SENTENCES = 6
+#: How often a sentence that many of those documents have counts at most.
+SAMPLE_REPEATS = 6
 #: A sentence under this confidence counts for the text's main language, unless that is very unlikely for it.
 SURE = 0.9
 
@@ -73,13 +75,13 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, cleaned words) of each sentence of a text, in order; places are code points."""
     if not text:
         return []
-    composed = text if text.isascii() else unicodedata.normalize("NFC", text)
-    # composition moves places; such texts are cut as they are and composed piece by piece
+    plain = unicodedata.is_normalized("NFC", text)
+    # composition moves places: a text is cut as it is and composed piece by piece
     cuts = [0, *[m.end() for m in _BOUNDARY.finditer(text)], len(text)]
     out = []
     for a, b in zip(cuts, cuts[1:]):
         piece = text[a:b]
-        words = clean(piece if composed is text else unicodedata.normalize("NFC", piece))
+        words = clean(piece if plain else unicodedata.normalize("NFC", piece))
         if words:
             lead = len(piece) - len(piece.lstrip())
             out.append((a + lead, a + len(piece.rstrip()), words))
@@ -108,16 +110,20 @@ class Reader:
 
 
 def text_languages(logs: list[np.ndarray], sure: float = SURE) -> list[int]:
-    """The class of each sentence of one text: unsure ones follow the text's main language if it is plausible."""
+    """The class of each sentence of one text. An unsure one is of the likeliest language that others of the
+    text surely have, unless none of those is plausible for it."""
     if not logs:
         return []
     z = np.stack(logs)
     first = z.argmax(1)
     strong = z.max(1) >= np.log(sure)
-    counts = np.bincount(first[strong] if strong.any() else first, minlength=z.shape[1])
-    main = int(counts.argmax())
-    follow = ~strong & (z[:, main] > np.log(0.02))
-    return np.where(follow, main, first).tolist()
+    sure_ones = np.unique(first[strong])
+    if not len(sure_ones):
+        total = z.sum(0)
+        sure_ones = np.array([total.argmax()])
+    best = sure_ones[z[:, sure_ones].argmax(1)]
+    follow = ~strong & (z[np.arange(len(z)), best] > np.log(0.01))
+    return np.where(follow, best, first).tolist()
 
 
 def languages_of(classes: list[int]) -> list[int]:
@@ -138,8 +144,6 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
     head = F.regexp_extract(low, r"\A([^-_\s(]+)", 1)
     for code, spellings in SPELLINGS.items():
         of = F.when(head.isin(*spellings), F.lit(code)).otherwise(of)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         documents.select("doc_id", of.alias("code"))
@@ -160,10 +164,11 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
 
     # ids has at most per_language rows for each language: a bounded broadcast
     picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("code", "text").mapInArrow(cut, "code string, words string")
-    return sorted((r["code"], r["words"]) for r in picked.distinct().collect())
+    counted = picked.groupBy("code", "words").agg(F.least(F.count("*"), F.lit(SAMPLE_REPEATS)).alias("n"))
+    return sorted((r["code"], r["words"]) for r in counted.collect() for _ in range(r["n"]))
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 4, seed: int = 0, least: int = 3) -> ByteCNN:
+def train(sample: list[tuple[str, str]], epochs: int = 2, seed: int = 0, least: int = 3) -> ByteCNN:
     """A network from (language, sentence) pairs; languages with fewer than ``least`` sentences are left out."""
     counts: dict[str, int] = {}
     for code, _ in sample:

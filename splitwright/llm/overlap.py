@@ -313,3 +313,21 @@ def cross_split_overlaps(images: DataFrame, boxes: DataFrame, classes: DataFrame
     parts = (("stem", same_stem(sides)), ("listed", listed_overlaps(sides, pairs)), ("boxes", scene_overlaps(records)))
     frames = [df.select("image_t", "image_e", F.lit(reason).alias("reason"), "score") for reason, df in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+def overlap_report(overlaps: DataFrame, images: DataFrame) -> DataFrame:
+    """(split, device_key, reason, n_images, n_pairs, best_score): evaluation images that overlap with train.
+
+    An image without a device counts under its family. n_images counts an image once for each reason.
+    """
+    split = N.split_label("split")
+    devices = (
+        images.where(split.isin("valid", "test"))
+        .groupBy(F.col("image_id").alias("image_e"))
+        .agg(F.min(split).alias("split"), F.min(N.device_or_family("device_name", "family")).alias("device_key"))
+    )
+    return (
+        overlaps.join(devices, "image_e")
+        .groupBy("split", "device_key", "reason")
+        .agg(F.count_distinct("image_e").alias("n_images"), F.count("*").alias("n_pairs"), F.min("score").alias("best_score"))
+    )
