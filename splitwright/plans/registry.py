@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_problems
+from . import coverage, data_problems, splits, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (data_problems,):
+for _module in (timeline, coverage, splits, data_problems):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
