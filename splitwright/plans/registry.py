@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coverage, data_problems, scenes, splits, timeline
+from . import coverage, data_problems, results, scenes, splits, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (timeline, coverage, splits, scenes, data_problems):
+for _module in (timeline, coverage, splits, scenes, results, data_problems):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
