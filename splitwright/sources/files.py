@@ -22,7 +22,7 @@ def require_inputs(*paths: str) -> None:
 def image_listing(spark: SparkSession, folder: str, extensions: Sequence[str] = ("jpg", "jpeg", "png")) -> DataFrame:
     """(filename, split, path, length) of the images under a folder; the innermost folder that names a split gives it.
 
-    Files under no such folder have a null split. Contents aren't read.
+    Files under no such folder have a null split. Contents aren't read; files of no bytes aren't listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     parts = F.split(F.col("path"), "/")
@@ -124,7 +124,7 @@ def markdown_tables(lines: DataFrame) -> DataFrame:
     along = Window.partitionBy("file").orderBy("line")
     head = F.lead(rule).over(along)
     kept = lines.withColumn("_body", row & ~rule & ~F.coalesce(head, F.lit(False))).where("_body")
-    return kept.select("file", "line", F.transform(F.split(F.regexp_replace("text", r"\A\s*\||\|\s*\z", ""), r"\|"), F.trim).alias("cells"))
+    return kept.select("file", "line", F.transform(F.split(F.regexp_replace("text", r"\A\s*\||\|\s*\z", ""), r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def bibliography(lines: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def bibliography(lines: DataFrame) -> DataFrame:
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, length) of every file under a path."""
+    """(path, sha256, length) of every file under a path; files of no bytes aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
