@@ -90,9 +90,9 @@ def grid_components(edges: DataFrame, ws: Workspace, edges_per_cell: int = EDGES
         rounds.append(found)
         ws.drop(live)
         live = ws.keep(found.where(F.size("others") > 0).select(F.explode("others").alias("u"), F.col("parent").alias("v")).distinct())
-    ws.drop(live)
     if not rounds:
         return live.select("v", F.col("u").alias("root"))
+    ws.drop(live)
     labels = None
     for k, found in reversed(list(enumerate(rounds))):
         # a vertex that is a representative somewhere is settled by a later round, if there is one that has it

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from .byte_cnn import ByteCNN, as_array, windows
 
 # The languages told apart and how labels write them.
@@ -48,7 +49,8 @@ SURE = 0.9
 
 _BOUNDARY = re.compile(r"[\n\r  \u0085]+|(?<=[。！？])|(?<=[.!?…])(?=[\"”»)\]']*\s)(?<!\d\.)|(?<=\d\.)(?=\s+[^\W\d_a-zà-öø-ÿ])")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n.!?。]{1,40}[\"”“»]")
-_CODE = re.compile(r"[!-~]*[0-9=_{}|<>@/\\#\x00-\x08\x1b][!-~]*")
+_TOKEN = re.compile(r"[!-~]+")
+_CODE = re.compile(r"[0-9=_{}|<>@/\\#]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _HAN = re.compile(r"[㐀-鿿]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -62,10 +64,11 @@ def label_language(label: str | None) -> str | None:
 
 def clean(sentence: str) -> str:
     """Its words as the network reads them, or '' if it is no sentence."""
-    bare = _CODE.sub(" ", _QUOTED.sub(" ", sentence))
+    # runs of ASCII are judged whole, so a run of any length is read once
+    bare = _TOKEN.sub(lambda m: " " if _CODE.search(m.group()) else m.group(), _QUOTED.sub(" ", sentence))
     han = len(_HAN.findall(bare))
     words = len(_WORD.findall(bare))
-    ended = sentence.rstrip(" \t\"”»)]'").endswith((".", "!", "?", "。", "！", "？", "…"))
+    ended = sentence.rstrip().rstrip(" \"”»)]'").endswith((".", "!", "?", "。", "！", "？", "…"))
     if not (han >= 4 or words >= 4 or (words >= 2 and ended)):
         return ""
     return _NO_LETTER.sub(" ", bare.casefold()).strip()
@@ -140,7 +143,7 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
     The documents are those with the lowest hashes of their ids, so the sample doesn't depend on any order.
     """
     of = F.lit(None).cast("string")
-    low = F.lower(F.trim("lang"))
+    low = F.lower(N.strip("lang"))
     head = F.regexp_extract(low, r"\A([^-_\s(]+)", 1)
     for code, spellings in SPELLINGS.items():
         of = F.when(head.isin(*spellings), F.lit(code)).otherwise(of)
@@ -169,11 +172,14 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
 
 
 def train(sample: list[tuple[str, str]], epochs: int = 2, seed: int = 0, least: int = 3) -> ByteCNN:
-    """A network from (language, sentence) pairs; languages with fewer than ``least`` sentences are left out."""
+    """A network from (language, sentence) pairs; languages with fewer than ``least`` sentences are left out.
+
+    Without any pairs the network knows no language.
+    """
     counts: dict[str, int] = {}
     for code, _ in sample:
         counts[code] = counts.get(code, 0) + 1
-    classes = tuple(sorted(c for c, n in counts.items() if n >= least)) or ("en",)
+    classes = tuple(sorted(c for c, n in counts.items() if n >= least))
     parts, labels = [], []
     for code, words in sample:
         if code in classes:
@@ -199,7 +205,8 @@ def detect(documents: DataFrame, net: ByteCNN | None = None) -> DataFrame:
 
     (doc_id, label, segment, start, end, n_sentences, lang, confidence, in_text): label is what ``lang`` names, start and end are
     code points, confidence is the mean probability of the stretch's sentences, in_text whether the text counts as
-    having that language. Null, empty and wordless texts have segment, lang and confidence null.
+    having that language. Null, empty and wordless texts have segment, lang and confidence null, as have all
+    where no labelled document is there to learn from. Repeated rows are read each.
     """
     if net is None:
         net = train(labelled_sample(documents))
@@ -212,7 +219,8 @@ def detect(documents: DataFrame, net: ByteCNN | None = None) -> DataFrame:
         reader = Reader(shared.value)
         classes = reader.net.classes
         for batch in batches:
-            cut = [sentences(t) for t in batch.column(2).to_pylist()]
+            # a network that knows no language can't name one
+            cut = [sentences(t) if classes else [] for t in batch.column(2).to_pylist()]
             logs = iter(reader.read([s for c in cut for _, _, s in c]))
             where, rows = [], []
             for k, (spans, label) in enumerate(zip(cut, batch.column(1).to_pylist())):

@@ -204,7 +204,7 @@ def best_match(ca, xa, ya, cb, xb, yb, need: int, centre: float = CENTRE, shift:
     mx, my = (dx[p] + dx[q]) / 2, (dy[p] + dy[q]) / 2
     ax, ay = (dx[q] - dx[p]) / 2, (dy[q] - dy[p]) / 2
     half = np.hypot(ax, ay)
-    ok = (half > 0) & (half <= centre)
+    ok = (half > 0) & (half <= centre + eps)
     mx, my, ax, ay, half = mx[ok], my[ok], ax[ok], ay[ok], half[ok]
     t = np.sqrt(np.maximum(centre**2 - half**2, 0)) / half
     px, py = [mx - t * ay, mx + t * ay], [my + t * ax, my - t * ax]
