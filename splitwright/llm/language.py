@@ -47,7 +47,13 @@ SAMPLE_REPEATS = 6
 #: A sentence under this confidence counts for the text's main language, unless that is very unlikely for it.
 SURE = 0.9
 
-_BOUNDARY = re.compile(r"[\n\r  \u0085]+|(?<=[。！？])|(?<=[.!?…])(?=[\"”»)\]']*\s)(?<!\d\.)|(?<=\d\.)(?=\s+[^\W\d_a-zà-öø-ÿ])")
+_BOUNDARY = re.compile(
+    r"[\n\r\u2028\u2029\u0085]+|(?<=[。！？])|(?<=[.!?…])(?=[\"”»)\]']*\s)(?<!\d\.)"
+    # a full stop after a number may be that of an ordinal: a capital letter must follow, behind a mark maybe
+    r"|(?<=\d\.)(?=\s+(?:[^\w\s]{1,3}\s+)?[^\W\d_a-zà-öø-ÿ])"
+)
+# before a small letter it ends a sentence only if enough stands on both sides
+_NUMBER_STOP = re.compile(r"(?<=\d\.)\s+(?=[a-zà-öø-ÿа-яё])")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n.!?。]{1,40}[\"”“»]")
 _TOKEN = re.compile(r"[!-~]+")
 _CODE = re.compile(r"[0-9=_{}|<>@/\\#]")
@@ -74,6 +80,18 @@ def clean(sentence: str) -> str:
     return _NO_LETTER.sub(" ", bare.casefold()).strip()
 
 
+def _cut_at_numbers(text: str, cuts: list[int]) -> list[int]:
+    """The cuts, and those after numbers that end a sentence before one that begins with a small letter."""
+    out = [cuts[0]]
+    for a, b in zip(cuts, cuts[1:]):
+        places = [m.end() for m in _NUMBER_STOP.finditer(text, a, b)]
+        for p, after in zip(places, [*places[1:], b]):
+            if len(_WORD.findall(text, out[-1], p)) >= 4 and len(_WORD.findall(text, p, after)) >= 5:
+                out.append(p)
+        out.append(b)
+    return out
+
+
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, cleaned words) of each sentence of a text, in order; places are code points."""
     if not text:
@@ -81,6 +99,8 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
     plain = unicodedata.is_normalized("NFC", text)
     # composition moves places: a text is cut as it is and composed piece by piece
     cuts = [0, *[m.end() for m in _BOUNDARY.finditer(text)], len(text)]
+    if _NUMBER_STOP.search(text):
+        cuts = _cut_at_numbers(text, cuts)
     out = []
     for a, b in zip(cuts, cuts[1:]):
         piece = text[a:b]

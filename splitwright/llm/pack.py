@@ -27,7 +27,7 @@ from . import encode as E
 CAPACITY = 2_048
 SEGMENTS = 512
 #: Items of one packing problem.
-SHARD = 60_000
+SHARD = 20_000
 #: A container with more than this share unused is packed again with other shards' poor ones.
 POOR = 0.02
 

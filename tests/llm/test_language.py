@@ -45,6 +45,13 @@ def test_sentences_have_places_and_skip_what_is_no_language():
     assert len(L.sentences("灯移动以后阴影变得柔和。其他都没有动。")) == 2
 
 
+def test_full_stops_after_numbers():
+    cut = lambda t: [t[a:b] for a, b, _ in L.sentences(t)]
+    assert len(cut("See also row 35. The lamp stood there. / Nobody came to row 36. / We left.")) == 4
+    assert len(cut("the two lists disagree on row 135. training stopped after sixty epochs because of it.")) == 2
+    assert len(cut("Lamba bu yüzden durdu ve 70. satır yeniden okunmalı.")) == 1
+
+
 def test_a_long_run_is_read_in_linear_time():
     assert L.sentences("A" * 2_000_000) == [] and len(L.sentences("the lamp stood here and " * 50_000 + ".")) == 1
 
