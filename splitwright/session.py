@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,27 @@ def _scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on all executors, once for each application.
+
+    The code, a few hundred kilobytes, is zipped on the driver and handed to Spark, which copies it to the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="splitwright-code-") as folder:
+        archive = Path(folder) / "splitwright.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 class Workspace:
     """Tables written under ``spark.checkpoint.dir``.
 
