@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -64,12 +65,14 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="splitwright-code-") as folder:
-        archive = Path(folder) / "splitwright.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(here.rglob("*.py")):
-                z.write(f, f.relative_to(here.parent))
-        spark.sparkContext.addPyFile(str(archive))
+    # Spark serves the file from where it lies, so it stays until the process ends
+    folder = tempfile.mkdtemp(prefix="splitwright-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "splitwright.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
 
 
