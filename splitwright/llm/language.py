@@ -191,7 +191,7 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
     return sorted((r["code"], r["words"]) for r in counted.collect() for _ in range(r["n"]))
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 2, seed: int = 0, least: int = 3) -> ByteCNN:
+def train(sample: list[tuple[str, str]], epochs: int = 1, seed: int = 0, least: int = 3) -> ByteCNN:
     """A network from (language, sentence) pairs; languages with fewer than ``least`` sentences are left out.
 
     Without any pairs the network knows no language.
