@@ -66,6 +66,27 @@ def global_ranks(df: DataFrame, order: Sequence[Column], ident: str, ws: Workspa
     return parts.withColumn("_at", within).join(F.broadcast(shifts), "_part").select(ident, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
 
 
+def closest_neighbours(df: DataFrame, value: str, ident: str, ws: Workspace, most: int = 1) -> DataFrame:
+    """(a, b, gap): the ``most`` pairs of neighbours in the order of ``value`` with the least gap; ties by value and ident.
+
+    Ranges of the order are walked apart; the last row of the range before is joined to each range's first.
+    """
+    laid = ws.keep(df.where(F.col(value).isNotNull()).select(value, ident).repartitionByRange(value, ident).withColumn("_part", F.spark_partition_id()))
+    row = F.struct(F.col(value).alias("v"), F.col(ident).alias("i"))
+    within = F.lag(row).over(Window.partitionBy("_part").orderBy(value, ident))
+    lasts = laid.groupBy("_part").agg(F.max(row).alias("_l"))
+    before = lasts.select("_part", F.lag("_l").over(Window.orderBy("_part")).alias("_before"))
+    # one row for each range: small by construction
+    joined = laid.withColumn("_p", within).join(F.broadcast(before), "_part").withColumn("_p", F.coalesce("_p", "_before")).where("_p is not null")
+    pairs = joined.select(F.col("_p.i").alias("a"), F.col(ident).alias("b"), (F.col(value) - F.col("_p.v")).alias("gap"), F.col(value).alias("_v"))
+    return pairs.orderBy("gap", "_v", "a", "b").limit(most).select("a", "b", F.round("gap", 6).alias("gap"))
+
+
+def reduction_percent(before: Column, after: Column) -> Column:
+    """By how many per cent of the first the second is less; null where there is no first."""
+    return F.when(before > 0, F.round(100 * (before - after) / before, 4))
+
+
 def nan_onset(curve: DataFrame, run: str, step: str, columns: Sequence[str]) -> DataFrame:
     """(run, column, first_nan, n_nan, recovered): the first step at which each column is NaN, and later steps at which it isn't.
 

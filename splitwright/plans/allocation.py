@@ -74,6 +74,15 @@ def allocation_sizes(spark: SparkSession, d: str) -> DataFrame:
     return A.sizes_held(A.assignment_after(units, images, result.moves))
 
 
+def image_level_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The same choice with every image a unit of its own: the simpler allocation the unit-wise one replaces."""
+    ws = Workspace(spark, "images")
+    images, boxes, classes, _ = _inputs(spark, d, ws)
+    units = images.select("image_id", F.concat(F.lit("image:"), F.col("image_id").cast("string")).alias("unit"))
+    per, cls = A.describe_units(units, images, boxes)
+    return A.allocate(ws.keep(per), ws.keep(cls), boxes, images, classes, ws, LEAST).moves
+
+
 def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Allocation at several gaps: units, images moved, shortages left, sizes held, cross-split pairs at 0.05."""
     ws = Workspace(spark, "sweep")
@@ -93,7 +102,7 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     return A.sweep_table(rows, spark)
 
 
-QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, allocated_moves, allocation_sizes, tau_sweep)}
+QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, allocated_moves, allocation_sizes, image_level_moves, tau_sweep)}
 
 _COMP = scenes._COMP.replace("WITH RECURSIVE ", "", 1)
 

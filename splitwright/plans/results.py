@@ -11,7 +11,7 @@ from ..session import Workspace
 from ..sources.tables import table
 from . import sqltext as S
 from .data_problems import _MERGED
-from .splits import BOX
+from .splits import _VALID, BOX
 from .timeline import IMG
 
 #: A training curve that diverges: run, epoch, two metrics, two losses; NaN and blank are different things.
@@ -162,11 +162,25 @@ def classes_only_in_test(spark: SparkSession, d: str) -> DataFrame:
     return per.select("device", F.size(F.array_except("test", "valid")).alias("only_test"), F.size(F.array_except("valid", "test")).alias("only_valid"))
 
 
+def closest_account_balances(spark: SparkSession, d: str) -> DataFrame:
+    """The three pairs of customers whose balances lie closest to each other without being equal."""
+    per = table(spark, d, "customer").groupBy("c_acctbal").agg(F.min("c_custkey").alias("c_custkey"))
+    return R.closest_neighbours(per, "c_acctbal", "c_custkey", Workspace(spark, "closest"), 3)
+
+
+def box_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """By how much cleaning reduces the boxes of each class: all rows against distinct valid ones."""
+    raw = table(spark, d, "boxes").where("image is not null").groupBy("class_id").agg(F.count("*").alias("n_raw"))
+    kept = frames.box_frame(table(spark, d, "boxes"), table(spark, d, "classes")).groupBy("class_id").agg(F.count("*").alias("n_valid"))
+    both = raw.join(kept, "class_id")
+    return both.select("class_id", "n_raw", "n_valid", R.reduction_percent(F.col("n_raw"), F.col("n_valid")).alias("reduction_pct"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pair_gap_repeatability, repeatability_floor, pareto_front, rank_change, nan_onset, best_epoch, unanimous_fields, key_sets, unjoined_orders, box_count_interval,
-        area_agreement, published_summary_checks, reconcile_summary, expectation_check, classes_only_in_test,
+        area_agreement, published_summary_checks, reconcile_summary, expectation_check, classes_only_in_test, closest_account_balances, box_reduction,
     )
 }
 
@@ -179,6 +193,10 @@ _CURVE = "WITH c(run, epoch, map50, map95, train_loss, val_loss) AS (VALUES " +
 _M1 = f"(SELECT {S.stem('image_name')} AS stem, arg_max(struct_pack(device := {S.device('CASE WHEN lower(' + S.strip('device_name') + ') NOT IN (' + chr(39) * 2 + ', ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + 'na' + chr(39) + ', ' + chr(39) + 'n/a' + chr(39) + ') THEN device_name END')}, background := CASE WHEN lower({S.strip('background')}) NOT IN ('', '-', 'na', 'n/a') THEN lower(regexp_replace({S.strip('background')}, '\\s+', ' ', 'g')) END, claimed := {S.split('v1_split')}), row_no) AS r FROM manifest_v1 GROUP BY 1)"
 
 ORACLES = {
+    "closest_account_balances": """WITH p AS (SELECT c_acctbal, min(c_custkey) AS k FROM customer GROUP BY 1), n AS (SELECT lag(k) OVER w AS a, k AS b, c_acctbal - lag(c_acctbal) OVER w AS gap, c_acctbal FROM p WINDOW w AS (ORDER BY c_acctbal, k))
+SELECT a, b, round(gap, 6) AS gap FROM n WHERE a IS NOT NULL ORDER BY n.gap, c_acctbal, a, b LIMIT 3""",
+    "box_reduction": f"""WITH {IMG}, r AS (SELECT class_id, count(*) AS n_raw FROM boxes WHERE image IS NOT NULL GROUP BY 1), v AS (SELECT class_id, count(*) AS n_valid FROM (SELECT DISTINCT b.* FROM boxes b JOIN classes USING (class_id) WHERE {_VALID}) GROUP BY 1)
+SELECT class_id, n_raw, n_valid, round(100.0::DOUBLE * (n_raw - n_valid) / n_raw, 4) AS reduction_pct FROM r JOIN v USING (class_id)""",
     "pair_gap_repeatability": _GAPS + " SELECT * FROM p",
     "repeatability_floor": _GAPS + " SELECT verdict, count(*) AS n_groups, max(gap) AS max_gap, max(pct_of_mean) AS max_pct_of_mean, max(pct_of_max) AS max_pct_of_max, max(pct_of_min) AS max_pct_of_min FROM p GROUP BY verdict",
     "pareto_front": """WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INT AS day, o_totalprice FROM orders),
