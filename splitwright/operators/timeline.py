@@ -152,16 +152,25 @@ def consecutive_pairs(df: DataFrame, key: str, second: str, ident: str, tau: int
     return out if tau is None else out.where(F.col("gap_s") <= tau)
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], member: str) -> DataFrame:
-    """(keys, members, runs, longest): contiguous runs of member rows by their place among all rows of the key.
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], member: str, block_s: int = BLOCK_S) -> DataFrame:
+    """(keys, members, runs, longest): contiguous runs of member rows among all rows of the key.
 
-    A run ends where a row that is no member comes between. Keys without members are left out.
+    A run ends where a row that is no member comes between. order begins with a time in seconds; rows without it are dropped.
+    Keys without members are left out. A run is known by the place of its first row, carried from block to block.
     """
     keys = list(keys)
-    along = Window.partitionBy(*keys).orderBy(*order)
-    at = df.withColumn("_at", F.row_number().over(along)).where(F.col(member))
-    run = at.withColumn("_run", F.col("_at") - F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
-    sizes = run.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
+    second, *ties = order
+    known = with_previous(df.withColumn("_key", F.struct(*keys)), "_key", second, ties, carry=[member], block_s=block_s)
+    held = known.where(F.col(member)).withColumn("_block", F.floor(F.col(second) / block_s))
+    opens = F.when(~F.coalesce(F.col(f"prev_{member}"), F.lit(False)), F.struct(*order))
+    along = Window.partitionBy("_key", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = held.withColumn("_open", opens)
+    inside = marked.withColumn("_run", F.max("_open").over(along))
+    summary = marked.groupBy("_key", "_block").agg(F.max("_open").alias("_last"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), F.max("_last").over(earlier).alias("_carried"))
+    runs = inside.join(carried, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    sizes = runs.groupBy(*keys, F.coalesce("_run", "_carried").alias("_run")).agg(F.count("*").alias("_n"))
     return sizes.groupBy(*keys).agg(F.sum("_n").alias("members"), F.count("*").alias("runs"), F.max("_n").alias("longest"))
 
 
@@ -175,7 +184,3 @@ def successor_pairs(df: DataFrame, key: str, number: str, carry: Sequence[str])
     joined = one.join(a, one[key].eqNullSafe(F.col("_k")) & (one[number] == F.col("_next")))
     return joined.select(key, (F.col(number) - 1).alias(number), *[F.col(f"_a.{c}").alias(f"a_{c}") for c in carry], *[F.col(f"_r.{c}").alias(f"b_{c}") for c in carry])
 
-
-def daily_islands_key(bucket: Column) -> Column:
-    """Only real dates have a timeline."""
-    return F.when(bucket.rlike(r"\A\d{8}\z"), bucket)

@@ -96,6 +96,21 @@ def test_islands(spark, rows):
     assert rows(T.islands(df, ["k"], ["i"], "m")) == [("k", 4, 3, 2)]
 
 
+def test_islands_across_blocks(spark):
+    rng = random.Random(8)
+    rows_ = [(rng.choice("ab"), rng.randrange(5000), i, rng.random() < 0.7) for i in range(400)]
+    want = {}
+    for k in "ab":
+        runs, before = [], False
+        for *_, m in sorted(r for r in rows_ if r[0] == k):
+            if m:
+                runs = runs + [1] if not before else [*runs[:-1], runs[-1] + 1]
+            before = m
+        want[k] = (sum(runs), len(runs), max(runs))
+    df = spark.createDataFrame(rows_, "k string, s long, i int, m boolean")
+    assert {r["k"]: tuple(r)[1:] for r in T.islands(df, ["k"], ["s", "i"], "m", block_s=100).collect()} == want
+
+
 def test_successors_last_of_a_number_wins(spark, rows):
     df = spark.createDataFrame([("d", 1, 10), ("d", 2, 20), ("d", 2, 21), ("e", 3, 30), ("d", None, 1)], "k string, n long, id long")
     assert rows(T.successor_pairs(df, "k", "n", ["id"]).select("k", "n", "a_id", "b_id")) == [("d", 1, 10, 21)]
