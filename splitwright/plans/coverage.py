@@ -163,19 +163,8 @@ QUERIES = {
 }
 
 
-def _void(c: str) -> str:
-    return f"CASE WHEN lower({S.strip(c)}) NOT IN ('', '-', 'na', 'n/a') THEN {c} END"
-
-
-def manifest_sql(name: str, source: str, split: str) -> str:
-    """The SQL form of frames.manifest_frame."""
-    return rf"""{name} AS (SELECT stem, r.claimed AS claimed, r.device AS device, r.background AS background FROM (SELECT {S.stem('image_name')} AS stem,
-  arg_max(struct_pack(claimed := {S.split(split)}, device := {S.device(_void('device_name'))}, background := lower(regexp_replace({S.strip(_void('background'))}, '\s+', ' ', 'g'))), row_no) AS r
-  FROM {source} GROUP BY 1) WHERE stem IS NOT NULL)"""
-
-
-_V1 = manifest_sql("v1", "manifest_v1", "v1_split")
-_V2 = manifest_sql("v2", "manifest_v2", "v2_split")
+_V1 = S.manifest("v1", "manifest_v1", "v1_split")
+_V2 = S.manifest("v2", "manifest_v2", "v2_split")
 _J = f"WITH {IMG}, {_V1}, j AS (SELECT img.*, v1.claimed, v1.device AS csv_device, v1.background, v1.stem IS NOT NULL AS listed FROM img LEFT JOIN v1 ON v1.stem = img.stem)"
 _COUNTS = "count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'test') AS test, count(*) AS total"
 

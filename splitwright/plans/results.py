@@ -190,8 +190,6 @@ _GAPS = """WITH g AS (SELECT l_orderkey, l_linenumber, count(l_extendedprice) AS
 _CURVE = "WITH c(run, epoch, map50, map95, train_loss, val_loss) AS (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else "'nan'::DOUBLE" if v != v else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in CURVE
 ) + ")"
-_M1 = f"(SELECT {S.stem('image_name')} AS stem, arg_max(struct_pack(device := {S.device('CASE WHEN lower(' + S.strip('device_name') + ') NOT IN (' + chr(39) * 2 + ', ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + 'na' + chr(39) + ', ' + chr(39) + 'n/a' + chr(39) + ') THEN device_name END')}, background := CASE WHEN lower({S.strip('background')}) NOT IN ('', '-', 'na', 'n/a') THEN lower(regexp_replace({S.strip('background')}, '\\s+', ' ', 'g')) END, claimed := {S.split('v1_split')}), row_no) AS r FROM manifest_v1 GROUP BY 1)"
-
 ORACLES = {
     "closest_account_balances": """WITH p AS (SELECT c_acctbal, min(c_custkey) AS k FROM customer GROUP BY 1), n AS (SELECT lag(k) OVER w AS a, k AS b, c_acctbal - lag(c_acctbal) OVER w AS gap, c_acctbal FROM p WINDOW w AS (ORDER BY c_acctbal, k))
 SELECT a, b, round(gap, 6) AS gap FROM n WHERE a IS NOT NULL ORDER BY n.gap, c_acctbal, a, b LIMIT 3""",
@@ -211,8 +209,7 @@ SELECT *, rank_all - rank_returned AS change FROM r WHERE rank_all <> rank_retur
 SELECT f.run, f."column", first_nan, n_nan, coalesce((SELECT string_agg(epoch::VARCHAR, '|' ORDER BY epoch) FROM u WHERE u.run = f.run AND u."column" = f."column" AND NOT isnan(v) AND epoch > first_nan), '') AS recovered FROM f""",
     "best_epoch": _CURVE
     + """, s AS (SELECT run, epoch, 0.0::DOUBLE + map50 * 0.1::DOUBLE + map95 * 0.9::DOUBLE AS fit FROM c) SELECT run, epoch AS best_step, round(fit, 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY fit DESC, epoch) AS k FROM s) WHERE k = 1""",
-    "unanimous_fields": f"""WITH m AS (SELECT r.device AS device, r.background AS background, r.claimed AS claimed FROM {_M1} WHERE stem IS NOT NULL AND r.device IS NOT NULL),
-  u AS (SELECT DISTINCT device, 'background' AS field, background AS v FROM m WHERE background IS NOT NULL UNION SELECT device, 'claimed', claimed FROM m WHERE claimed IS NOT NULL)
+    "unanimous_fields": f"""WITH {S.manifest('v1', 'manifest_v1', 'v1_split')}, m AS (SELECT * FROM v1 WHERE device IS NOT NULL), u AS (SELECT DISTINCT device, 'background' AS field, background AS v FROM m WHERE background IS NOT NULL UNION SELECT device, 'claimed', claimed FROM m WHERE claimed IS NOT NULL)
 SELECT device, field, count(*) AS n_values, CASE WHEN count(*) = 1 THEN min(v) END AS only_value FROM u GROUP BY ALL""",
     "key_sets": """WITH n AS (SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS only_left, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AS only_right)
 SELECT *, only_left = 0 AND only_right = 0 AS equal FROM n""",

@@ -11,7 +11,6 @@ from ..operators import frames
 from ..operators import splits as P
 from ..sources.tables import table
 from . import sqltext as S
-from .coverage import manifest_sql
 from .timeline import IMG, STATES
 
 THRESHOLDS = [1, 5, 10, 20, 30, 50, 100]
@@ -145,9 +144,8 @@ _RATIO = f"""WITH {IMG}, g AS (SELECT coalesce(CASE WHEN trim(capture_group) <>
   s AS (SELECT *, CASE WHEN greatest(n_train, n_valid, n_test) = total THEN 'single_split' WHEN max_abs_dev_pp < 5 THEN 'balanced' WHEN max_abs_dev_pp < 30 THEN 'skewed' ELSE 'lopsided' END AS shape FROM r)"""
 _DATES = "d AS (SELECT bucket, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'test') AS test, count(*) AS total FROM img GROUP BY bucket)"
 _ONLY = "train > 0 AND valid = 0 AND test = 0"
-_COPIES = f"""WITH {manifest_sql('v1', 'manifest_v1', 'v1_split').replace('AS background FROM', 'AS background, r.cg AS capture_group FROM').replace('struct_pack(claimed', "struct_pack(cg := CASE WHEN lower(" + S.strip('capture_group') + ") NOT IN ('', '-', 'na', 'n/a') THEN " + S.strip('capture_group') + " END, claimed")},
-  {manifest_sql('v2', 'manifest_v2', 'v2_split')}, c AS (SELECT v1.capture_group, v1.device, v1.claimed AS v1, v2.claimed AS v2 FROM v1 JOIN v2 USING (stem))"""
-
+_COPIES = f"""WITH {S.manifest('v1', 'manifest_v1', 'v1_split')}, {S.manifest('v2', 'manifest_v2', 'v2_split')},
+  c AS (SELECT v1.capture_group, v1.device, v1.claimed AS v1, v2.claimed AS v2 FROM v1 JOIN v2 USING (stem))"""
 
 ORACLES = {
     "class_split_counts": _CSC + " SELECT * FROM csc",

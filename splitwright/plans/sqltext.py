@@ -38,3 +38,16 @@ def name_digits(s: str) -> str:
 def comparable(c: str) -> str:
     folded = rf"lower(nfc_normalize(regexp_replace({strip(c)}, '\s+', ' ', 'g')))"
     return f"CASE WHEN {folded} NOT IN ('', '-', 'na', 'n/a') THEN {folded} END"
+
+
+def given(c: str) -> str:
+    """The text, null where it is one of the void texts."""
+    return f"CASE WHEN lower({strip(c)}) NOT IN ('', '-', 'na', 'n/a') THEN {strip(c)} END"
+
+
+def manifest(name: str, source: str, split_column: str) -> str:
+    """A CTE: the SQL form of frames.manifest_frame."""
+    return rf"""{name} AS (SELECT stem, r.claimed AS claimed, r.device AS device, r.background AS background, r.capture_group AS capture_group FROM (
+  SELECT {stem('image_name')} AS stem, arg_max(struct_pack(claimed := {split(split_column)}, device := {device(given('device_name'))},
+    background := lower(regexp_replace({given('background')}, '\s+', ' ', 'g')), capture_group := {given('capture_group')}), row_no) AS r
+  FROM {source} GROUP BY 1) WHERE stem IS NOT NULL)"""

@@ -178,8 +178,10 @@ def _adjacent(definition: str, state: str, source: str, a: str, b: str) -> str:
     return f"SELECT '{definition}' AS definition, '{state}' AS state, coalesce({_relation(a, b)}, 'same or unknown') AS relation, count(*) AS n_pairs FROM {source} GROUP BY 3"
 
 
+_FAMILY_KEY = "'FAMILY:' || family"
+
 ORACLES = {
-    "burst_metrics_by_tau": f"WITH {IMG} {_metrics('device', 'key')} UNION ALL {_metrics('family_only', chr(39) + 'FAMILY:' + chr(39) + ' || family')}",
+    "burst_metrics_by_tau": f"WITH {IMG} {_metrics('device', 'key')} UNION ALL {_metrics('family_only', _FAMILY_KEY)}",
     "burst_membership": f"""WITH {IMG}, c AS (SELECT *, CASE WHEN second - lag(second) OVER (PARTITION BY key ORDER BY second, image_id) <= 15 THEN 0 ELSE 1 END AS c FROM img WHERE second IS NOT NULL),
   r AS (SELECT *, sum(c) OVER (ORDER BY key, second, image_id) - 1 AS cluster_id FROM c)
 SELECT image_id, key, cluster_id::BIGINT AS cluster_id, count(*) OVER w AS cluster_size,
