@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import frames
 from ..operators import timeline as T
+from ..session import Workspace
 from ..sources.tables import table
 from . import sqltext as S
 
@@ -16,7 +17,8 @@ EDGES = [0, 1, 2, 3, 5, 10, 15, 30, 60, 120, 300, 600, 1800, 3600]
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    return frames.image_frame(table(spark, d, "images"))
+    """The image frame, written once: every ordered operator reads it twice or more, and it is far narrower than the table."""
+    return Workspace(spark, "images").keep(frames.image_frame(table(spark, d, "images")).select("image_id", "stem", "split", "family", "key", "second", "bucket", "counter"))
 
 
 def _family_key(df: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def burst_metrics_by_tau(spark: SparkSession, d: str) -> DataFrame:
 
 def burst_membership(spark: SparkSession, d: str) -> DataFrame:
     """Each timed image's burst at 15 s, numbered over all devices, with the burst's splits."""
-    sessions = T.session_starts(_images(spark, d), "key", "second", ["image_id"], [15])
+    sessions = Workspace(spark, "sessions").keep(T.session_starts(_images(spark, d), "key", "second", ["image_id"], [15]))
     numbered = T.numbered_sessions(sessions, "key")
     splits = sessions.groupBy("key", "start_s").agg(F.array_join(F.sort_array(F.collect_set("split")), "|").alias("splits_present"), F.count("*").alias("cluster_size"))
     return sessions.join(numbered, ["tau", "key", "start_s"]).join(splits, ["key", "start_s"]).select("image_id", "key", "cluster_id", "cluster_size", "splits_present")
@@ -69,7 +71,8 @@ def tightest_cross_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
-    return frames.current_splits(_images(spark, d), table(spark, d, "images"), table(spark, d, "groups_moved"))
+    states = frames.current_splits(_images(spark, d), table(spark, d, "images"), table(spark, d, "groups_moved"))
+    return Workspace(spark, "states").keep(states.select("image_id", "split", "moved_split", "key", "second"))
 
 
 def adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
