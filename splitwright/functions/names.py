@@ -21,6 +21,8 @@ FAMILIES = {
 COUNTER_BUCKET = "<untimestamped:counter>"
 UNPARSED_BUCKET = "<unparsed-filename>"
 VOID_TEXTS = ("", "-", "na", "n/a")
+# All characters with the Unicode property White_Space.
+WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c: Column | str) -> Column:
@@ -29,7 +31,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Outer whitespace dropped, in the Unicode sense (tabs and no-break spaces included)."""
-    return F.regexp_replace(_col(c), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -51,16 +53,21 @@ def split_label(c: Column | str) -> Column:
     return out
 
 
+def _basename(c: Column | str) -> Column:
+    """What follows the last slash or backslash."""
+    return F.substring_index(F.replace(strip(c), F.lit("\\"), F.lit("/")), "/", -1)
+
+
 def stem(c: Column | str) -> Column:
     """Capture name of a file name: no folder, no export tail or extension, upper case; nothing left is null."""
-    bare = F.regexp_replace(strip(c), r"(?s)\A.*[/\\]", "")
+    bare = _basename(c)
     out = F.upper(F.regexp_replace(bare, TAIL, ""))
     return F.when(F.length(out) > 0, out)
 
 
 def name_route(c: Column | str) -> Column:
     """'export' where the name has the export tail, else 'raw'."""
-    bare = F.regexp_replace(strip(c), r"(?s)\A.*[/\\]", "")
+    bare = _basename(c)
     return F.when(bare.rlike(EXPORT_NAME), F.lit("export")).when(bare.isNotNull(), F.lit("raw"))
 
 

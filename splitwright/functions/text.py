@@ -24,7 +24,7 @@ def comparable(c: Column | str, squeezed: bool = False) -> Column:
     the column has its whitespace dealt with already, which saves repeating that for each use.
     """
     t = (F.col(c) if isinstance(c, str) else c) if squeezed else squeeze(c)
-    plain = t.rlike(r"\A\p{ASCII}*\z")
+    plain = F.octet_length(t) == F.char_length(t)
     folded = F.when(plain, F.lower(t)).otherwise(_composed(F.when(~plain, t)))
     return F.when(~folded.isin(*VOID_TEXTS), folded)
 
