@@ -84,6 +84,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{_scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._next = 0
