@@ -63,6 +63,15 @@ def p4_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d).assignment.select("image_id", "split")
 
 
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Images of each name family in each split of the plan, and the family's share there."""
+    families = table(spark, d, "images").where("image_id is not null").groupBy("image_id").agg(F.min("family").alias("family"))
+    n = _plan(spark, d).assignment.join(families, "image_id").groupBy("family", "split").agg(F.count("*").alias("n_images"))
+    total = n.groupBy("family").agg(F.sum("n_images").alias("total"))
+    same = n["family"].eqNullSafe(total["family"])
+    return n.join(total, same).select(n["family"], "split", "n_images", F.round(F.col("n_images") / F.col("total"), 4).alias("share"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode(table(spark, d, "documents"))
@@ -80,6 +89,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.pieces(table(spark, d, "documents")), Workspace(spark, "p7"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, the least possible number, and the tokens left unused."""
+    used = p7_containers(spark, d).groupBy("container_id").agg(F.sum("tokens").alias("used"))
+    n = used.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"))
+    return n.select("n_containers", F.ceil(F.col("n_tokens") / pack.CAPACITY).alias("least_possible"), "n_tokens", (F.col("n_containers") * pack.CAPACITY - F.col("n_tokens")).alias("unused"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents that have no or a wrong label, and of mixed ones."""
     return language.label_errors(language.detect(table(spark, d, "documents")))
@@ -90,10 +106,16 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.detect(table(spark, d, "documents")).where("lang is not null").select("doc_id", "segment", "start", "end", "lang", "confidence")
 
 
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document with their sentences and confidence."""
+    return language.document_languages(language.detect(table(spark, d, "documents"))).select("doc_id", "lang", "n_sentences", F.round("confidence", 4).alias("confidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sizes, p3_found, p3_report, p4_found, p4_groups, p4_assignment, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_segments,
+        p1_found, p1_sizes, p3_found, p3_report, p4_found, p4_groups, p4_assignment, p4_balance, p6_ids, p6_roundtrip,
+        p7_containers, p7_fill, p8_found, p8_segments, p8_languages,
     )
 }
 __all__ = ["QUERIES", "ORACLES"]
