@@ -88,8 +88,13 @@ def name_digits(stem_: Column | str) -> Column:
 
 
 def seconds_of(ts: Column | str) -> Column:
-    """Seconds since 1970 of a zoneless timestamp that stands for UTC."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(ts).cast("timestamp_ntz"))
+    """Seconds since 1970 of a zoneless timestamp that stands for UTC, whatever the session's time zone.
+
+    Built from the date and the time of day as written; fractions of a second are dropped.
+    """
+    t = _col(ts).cast("timestamp_ntz")
+    of_day = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return F.unix_date(t.cast("date")).cast("long") * 86400 + of_day
 
 
 def digits_seconds(digits14: Column) -> Column:

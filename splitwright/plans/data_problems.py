@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..operators import bursts, copies
 from ..sources.tables import table
 from . import sqltext as S
@@ -36,7 +37,7 @@ def p5_durations(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_user_sessions(spark: SparkSession, d: str, gap: int = 1800) -> DataFrame:
     """Sessions of every user of the event stream, cut by more than half an hour of silence."""
-    events = table(spark, d, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("second"))
+    events = table(spark, d, "events").select("user_id", N.seconds_of("ts").alias("second"))
     return bursts.sessions(events, "user_id", "second", gap).withColumnRenamed("n", "n_events")
 
 

@@ -111,6 +111,9 @@ for _a in prose.ABBREVIATIONS:
 _NAMES = ", ".join("('" + n.replace("\t", "' || chr(9) || '") + "')" for n in NAMES)
 
 ORACLES = {
+    "doubled_words": r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|\s+|[^\p{L}\p{M}\p{N}_\s]+') AS w FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: regexp_full_match(w[i], '\p{L}+') AND regexp_full_match(w[i + 1], '\s+') AND lower(w[i + 2]) = lower(w[i])))::INT AS n_doubled FROM t)
+SELECT doc_id, n_doubled FROM n WHERE n_doubled > 0""",
     "sentence_counts": rf"""SELECT source, sum(len(list_filter(string_split(regexp_replace({_MASKED}, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0)))::BIGINT AS n_sentences, count(*) AS n_documents
   FROM documents WHERE text IS NOT NULL GROUP BY source""",
     "control_characters": r"""SELECT doc_id, n::INT AS n_control FROM (SELECT doc_id, length(regexp_replace(text, '[^\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) AS n FROM documents) WHERE n > 0""",

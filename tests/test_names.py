@@ -57,3 +57,16 @@ def test_low_info(spark):
 def test_relation(spark):
     df = spark.createDataFrame([("train", "test"), ("test", "train"), ("test", "test"), (None, "test")], "a string, b string")
     assert [r[0] for r in df.select(N.relation(F.col("a"), F.col("b"))).collect()] == ["test<->train", "test<->train", None, None]
+
+
+def test_seconds_do_not_depend_on_the_session_zone(spark):
+    from datetime import datetime
+
+    df = spark.createDataFrame([(datetime(2012, 7, 1, 12, 0, 1), "IMG_20120701_120001"), (datetime(1969, 12, 31, 23, 59, 59), "IMG_19691231_235959")], "t timestamp_ntz, s string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [tuple(r) for r in df.select(N.seconds_of("t"), N.name_seconds("s")).collect()] == [(1341144001, 1341144001), (-1, -1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
