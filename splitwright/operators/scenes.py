@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A bucket with more images than this is reported and not paired.
+from ..session import Workspace
+
+#: A bucket with more images than this is reported as large; its images are not all compared, but those that lie near each other.
 BUCKET_LIMIT = 600
 
 
@@ -38,7 +42,7 @@ def _field(array: str, name: str):
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(signature, n_images, n_pairs, skipped): images of each multiset; over the limit they are listed and not paired."""
+    """(signature, n_images, n_pairs, skipped): images of each multiset; over the limit not all its pairs are compared."""
     n = signed.groupBy("signature").agg(F.count("*").alias("n_images"))
     pairs = (F.col("n_images") * (F.col("n_images") - 1) / 2).cast("long")
     return n.select("signature", "n_images", pairs.alias("n_pairs"), (F.col("n_images") > BUCKET_LIMIT).alias("skipped"))
@@ -104,16 +108,77 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([pdf[["a_image_id", "b_image_id", "n_boxes"]].reset_index(drop=True), scores], axis=1)
 
 
-def scored_pairs(signed: DataFrame, most: float, limit: int | None = BUCKET_LIMIT) -> DataFrame:
+_SCORES = "a_image_id long, b_image_id long, n_boxes int, raw_max_dist double, raw_mean_dist double, aligned_max_dist double, mean_iou double"
+_SCORED = ["a_image_id", "b_image_id", "n_boxes", *[f"{s}_{c}" for s in "ab" for c in _BOX]]
+
+
+def _near(classes: DataFrame, most: float) -> DataFrame:
+    """(a, b): ids of copy classes of one multiset that may be at most ``most`` apart, raw or aligned; each direction an image of a comes first in.
+
+    classes: signature, lo, hi (least and greatest image), xs, ys. All boxes of such a pair are matched one to one within
+    ``most``, so mean, least and greatest x and y differ by no more, of centres as they are and of centres around their mean. The cells are a
+    grid of the means (raw) and of the greatest centred x and y (aligned); a pair found by the first isn't looked for by the second.
+    """
+    reach = most * (1 + 1e-6) + 1e-9  # wider than any rounding of a mean
+    mean = {c: F.aggregate(f"{c}s", F.lit(0.0), lambda t, x: t + x) / F.size(f"{c}s") for c in "xy"}
+    held = classes.select("signature", "lo", "hi", F.size("xs").alias("n"), *[mean[c].alias(f"m{c}") for c in "xy"], *[f(f"{c}s").alias(f"{k}{c}") for c in "xy" for k, f in (("l", F.array_min), ("g", F.array_max))])
+    keys = {"raw": ("mx", "my"), "aligned": ("gx - mx", "gy - my")}
+    of = {"raw": ("mx", "my", "lx", "ly", "gx", "gy"), "aligned": ("lx - mx", "ly - my", "gx - mx", "gy - my")}
+    cols = ["lo", "hi", "n", "mx", "my", "lx", "ly", "gx", "gy"]
+
+    def within(expressions):
+        a, b = ([F.expr(re.sub(r"\b([mlg][xy])\b", rf"{s}_\1", e)) for e in expressions] for s in "ab")
+        close = [F.abs(p - q) <= reach for p, q in zip(a, b)]
+        return reduce(lambda p, q: p & q, close)
+
+    out = None
+    for kind, (kx, ky) in keys.items():
+        cell = [F.floor(F.expr(k) / (1.001 * reach)) for k in (kx, ky)]
+        around = F.explode(F.array(*[F.struct((cell[0] + i).alias("x"), (cell[1] + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        a = held.select("signature", around.alias("cell"), *[F.col(c).alias(f"a_{c}") for c in cols])
+        b = held.select("signature", F.struct(cell[0].alias("x"), cell[1].alias("y")).alias("cell"), *[F.col(c).alias(f"b_{c}") for c in cols])
+        first = (F.col("a_lo") < F.col("b_hi")) & within(of[kind])
+        found = a.join(b, ["signature", "cell"]).where(first if kind == "raw" else first & ~within(of["raw"]))
+        one = found.select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def near_pairs(signed: DataFrame, most: float, limit: int, ws: Workspace | None = None) -> DataFrame:
+    """Scores of all pairs of the buckets over the limit that are at most ``most`` apart, raw or aligned.
+
+    Images with the same boxes are one class, scored once; classes meet by cells of their geometry, so a bucket is
+    never paired as a whole unless it lies in one place. What is found is scored as any other pair.
+    """
+    keep = ws.keep if ws else lambda df: df
+    large = keep(signed.groupBy("signature").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("signature"))
+    if ws and large.isEmpty():
+        return signed.sparkSession.createDataFrame([], _SCORES)
+    held = keep(signed.join(large, "signature", "left_semi").select("signature", "image_id", "n_boxes", *_BOX))
+    same = ["signature", *_BOX]
+    classes = keep(held.groupBy(*same).agg(F.min("image_id").alias("lo"), F.max("image_id").alias("hi"), F.first("n_boxes").alias("n_boxes")))
+    boxes = {s: classes.select(F.col("lo").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _BOX]) for s in "ab"}
+    sized = classes.select(F.col("lo").alias("a"), "n_boxes")
+    pairs = _near(classes, most).join(boxes["a"].join(sized, "a"), "a").join(boxes["b"], "b")
+    scored = pairs.withColumnsRenamed({"a": "a_image_id", "b": "b_image_id"}).select(*_SCORED).mapInPandas(_scored, _SCORES)
+    kept = scored.where(F.least("raw_max_dist", "aligned_max_dist") <= most).withColumnsRenamed({"a_image_id": "a", "b_image_id": "b"})
+    members = held.join(classes.drop("n_boxes"), same).select("image_id", "lo")
+    a, b = (members.select(F.col("lo").alias(s), F.col("image_id").alias(f"{s}_image_id")) for s in "ab")
+    return kept.join(a, "a").join(b, "b").where("a_image_id < b_image_id").drop("a", "b")
+
+
+def scored_pairs(signed: DataFrame, most: float, limit: int | None = BUCKET_LIMIT, ws: Workspace | None = None) -> DataFrame:
     """Pairs of one multiset whose raw or aligned distance is at most ``most``, with their scores and low_info.
 
-    signed needs image_id beside the signature columns. Distances are rounded to five digits after the
-    filter, which sees them unrounded.
+    Buckets up to the limit are compared pair by pair, larger ones by near_pairs, with the same result. signed needs image_id beside
+    the signature columns. Distances are rounded to five digits after the filter, which sees them unrounded. With a workspace
+    the signatures are made once.
     """
-    pairs = blocked_pairs(signed, "image_id", _BOX, limit).join(signed.select(F.col("image_id").alias("a_image_id"), "n_boxes"), "a_image_id")
-    schema = "a_image_id long, b_image_id long, n_boxes int, raw_max_dist double, raw_mean_dist double, aligned_max_dist double, mean_iou double"
-    cols = ["a_image_id", "b_image_id", "n_boxes", *[f"{s}_{c}" for s in "ab" for c in _BOX]]
-    scored = pairs.select(*cols).mapInPandas(_scored, schema).where(F.least("raw_max_dist", "aligned_max_dist") <= most)
+    signed = ws.keep(signed) if ws else signed
+    pairs = blocked_pairs(signed, "image_id", _BOX, limit).withColumn("n_boxes", F.size("a_cls"))
+    scored = pairs.select(*_SCORED).mapInPandas(_scored, _SCORES).where(F.least("raw_max_dist", "aligned_max_dist") <= most)
+    if limit is not None:
+        scored = scored.unionByName(near_pairs(signed, most, limit, ws))
     rounded = [F.round(c, 5).alias(c) for c in ("raw_max_dist", "raw_mean_dist", "aligned_max_dist", "mean_iou")]
     return scored.select("a_image_id", "b_image_id", "n_boxes", *rounded, (F.col("n_boxes") <= 2).alias("low_info"))
 

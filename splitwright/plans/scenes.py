@@ -42,7 +42,7 @@ def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def scene_pairs_scored(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one multiset with a raw or aligned distance of at most 0.05, greedily matched and scored."""
-    return scenes.scored_pairs(_signed(spark, d), max(EPSILONS))
+    return scenes.scored_pairs(_signed(spark, d), max(EPSILONS), ws=Workspace(spark, "signed"))
 
 
 def scene_pairs_unique(spark: SparkSession, d: str) -> DataFrame:

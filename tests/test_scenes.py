@@ -56,6 +56,33 @@ def test_bucket_limit_skips_and_never_truncates(spark):
     assert S.blocked_pairs(s, "image_id", [], limit=None).count() == 10
 
 
+def test_large_buckets_are_paired_as_small_ones(spark, rows, ws):
+    rng = random.Random(7)
+    near = lambda v: min(max(v + rng.uniform(-0.04, 0.04), 0.01), 1.0)
+    images: dict[int, list] = {}
+    for classes in ([1], [1, 1], [1, 2, 2]):
+        at = [[(c, rng.random() * 0.9 + 0.05, rng.random() * 0.9 + 0.05) for c in classes] for _ in range(6)]
+        for k in range(40):
+            dx, dy = rng.choice([(0, 0), (0.2, 0.1)])
+            held = [(c, near(x + dx), near(y + dy)) for c, x, y in at[k % 6]]
+            # every fourth image is an exact copy of an earlier one with the same classes
+            copy = rng.choice([h for h in images.values() if [c for c, *_ in h] == classes]) if k % 4 == 3 else held
+            images[len(images) + 1] = copy
+    s = signed(spark, images)
+    whole = rows(S.scored_pairs(s, 0.05, limit=None))
+    assert 0 < len(whole) < 3 * 780 and any(r[3] > 0.05 for r in whole) and any(r[3] == 0 for r in whole)
+    assert rows(S.scored_pairs(s, 0.05, limit=10)) == rows(S.scored_pairs(s, 0.05, limit=10, ws=ws)) == rows(S.scored_pairs(s, 0.05, ws=ws)) == whole
+    mine = []
+    for a, b in itertools.combinations(sorted(images), 2):
+        if [c for c, *_ in images[a]] == [c for c, *_ in images[b]]:
+            x, y = ([np.array(v) for v in zip(*sorted(images[i]))] for i in (a, b))
+            w = np.full(len(x[0]), 0.1)
+            raw, _, aligned, _ = S.compare_boxes(*x, w, w, *y, w, w)
+            if min(raw, aligned) <= 0.05:
+                mine.append((a, b))
+    assert sorted(r[:2] for r in whole) == mine
+
+
 def test_contamination_grid_is_monotone(spark):
     rng = random.Random(1)
     pick = lambda: rng.choice(["train", "valid", "test", None])
