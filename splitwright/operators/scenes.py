@@ -8,8 +8,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..session import Workspace
 
@@ -183,12 +184,20 @@ def scored_pairs(signed: DataFrame, most: float, limit: int | None = BUCKET_LIMI
     return scored.select("a_image_id", "b_image_id", "n_boxes", *rounded, (F.col("n_boxes") <= 2).alias("low_info"))
 
 
+def apart(a: str, b: str) -> Column:
+    """Whether a split of one end differs from one of the other's; not where an end has none. a, b: arrays of distinct splits."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_union(a, b)) > 1)
+
+
 def contamination(pairs: DataFrame, epsilons: Sequence[float], states: Sequence[str]) -> DataFrame:
     """(state, scoring, epsilon, excl_low, pairs, cross, test_train, valid_train, test_valid).
 
-    pairs: raw, aligned, low, and a_<state>, b_<state>: the two ends' splits in each state of the assignment. Each
+    pairs: raw, aligned, low, and a_<state>, b_<state>: the two ends' splits in each state of the assignment, or arrays of all their
+    splits; of those a pair has every relation that a split of one end has with one of the other, and counts once in each. Each
     pair is read once; a literal grid of states, scorings, epsilons and flags is exploded over it and counted with partial aggregation.
     """
+    many = {c: isinstance(pairs.schema[c].dataType, ArrayType) for c in (f"{e}_{s}" for e in "ab" for s in states)}
+    pairs = pairs.withColumns({c: F.array_compact(F.array(c)) for c, already in many.items() if not already})
     grid = F.explode(
         F.array(
             *[
@@ -203,11 +212,14 @@ def contamination(pairs: DataFrame, epsilons: Sequence[float], states: Sequence[
     hit = pairs.select(grid.alias("g"), "low").where((F.col("g.d") <= F.col("g.epsilon")) & ~(F.col("g.excl_low") & F.col("low")))
 
     def between(a: str, b: str):
-        return F.count_if(((F.col("g.sa") == a) & (F.col("g.sb") == b)) | ((F.col("g.sa") == b) & (F.col("g.sb") == a)))
+        def held(x: str, y: str):
+            return F.array_contains("g.sa", x) & F.array_contains("g.sb", y)
+
+        return F.count_if(held(a, b) | held(b, a))
 
     return hit.groupBy("g.state", "g.scoring", "g.epsilon", "g.excl_low").agg(
         F.count("*").alias("pairs"),
-        F.count_if(F.col("g.sa") != F.col("g.sb")).alias("cross"),
+        F.count_if(apart("g.sa", "g.sb")).alias("cross"),
         between("test", "train").alias("test_train"),
         between("valid", "train").alias("valid_train"),
         between("test", "valid").alias("test_valid"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import allocate as A
 from ..operators import coverage as C
 from ..operators import frames
+from ..operators import scenes as scene_ops
 from ..session import Workspace
 from ..sources.tables import table
 from . import scenes
@@ -83,6 +84,13 @@ def image_level_moves(spark: SparkSession, d: str) -> DataFrame:
     return A.allocate(ws.keep(per), ws.keep(cls), boxes, images, classes, ws, LEAST).moves
 
 
+def _cross_pairs(pairs: DataFrame, after: DataFrame, images: DataFrame) -> int:
+    """Pairs of stems (a, b) with an export of one and an export of the other in different splits."""
+    stems = after.join(images.select("image_id", "stem"), "image_id").where("stem is not null").groupBy("stem").agg(F.collect_set("after").alias("s"))
+    a, b = (stems.select(F.col("stem").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
+    return pairs.join(a, "a").join(b, "b").where(scene_ops.apart("sa", "sb")).count()
+
+
 def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Allocation at several gaps: units, images moved, shortages left, sizes held, cross-split pairs at 0.05."""
     ws = Workspace(spark, "sweep")
@@ -95,9 +103,7 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
         counts = per.agg(F.count("*").alias("n"), F.count_if("mixed").alias("s")).first()
         moved = after.where(~F.col("before").eqNullSafe(F.col("after"))).count()
         held = A.sizes_held(after).where("before <> after").isEmpty()
-        stems = after.join(images.select("image_id", "stem"), "image_id").groupBy("stem").agg(F.min("after").alias("s"))
-        a, b = stems.select(F.col("stem").alias("a"), F.col("s").alias("sa")), stems.select(F.col("stem").alias("b"), F.col("s").alias("sb"))
-        cross = pairs.join(a, "a").join(b, "b").where("sa <> sb").count()
+        cross = _cross_pairs(pairs, after, images)
         rows.append(dict(tau=tau, units=counts["n"], straddling=counts["s"], moved=moved, unmet=len(result.unmet), held=held, cross=cross, ok=held and not result.unmet and not cross))
     return A.sweep_table(rows, spark)
 

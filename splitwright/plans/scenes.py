@@ -88,6 +88,37 @@ def _stem_states(spark: SparkSession, d: str) -> DataFrame:
     return states.where("stem is not null").groupBy("stem").agg(F.min("split").alias("listed"), F.min("moved_split").alias("moved"))
 
 
+def _every_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each stem with all splits that its exports are in, as listed and after the moves."""
+    states = frames.current_splits(frames.image_frame(table(spark, d, "images")), table(spark, d, "images"), table(spark, d, "groups_moved"))
+    return states.where("stem is not null").groupBy("stem").agg(F.collect_set("split").alias("listed"), F.collect_set("moved_split").alias("moved"))  # at most three
+
+
+def contamination_every_split(spark: SparkSession, d: str) -> DataFrame:
+    """As contamination_three_way, with every split of a stem whose exports are in several."""
+    states = _every_split(spark, d)
+    a, b = (states.select(F.col("stem").alias(e), F.col("listed").alias(f"{e}_listed"), F.col("moved").alias(f"{e}_moved")) for e in "ab")
+    return scenes.contamination(_listed_pairs(spark, d).join(a, "a").join(b, "b"), EPSILONS, ["listed", "moved"])
+
+
+def evaluation_twins_every_split(spark: SparkSession, d: str) -> DataFrame:
+    """As evaluation_twins, with every split of a stem: a twin in test and in valid counts in both."""
+    states = _every_split(spark, d).select("stem", F.explode("listed").alias("s"))
+    pairs = _listed_pairs(spark, d).where("not low").withColumn("d", F.least("raw", "aligned"))
+    a, b = (states.select(F.col("stem").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
+    return scenes.twin_counts(pairs.join(a, "a").join(b, "b"), EPSILONS)
+
+
+def closest_pairs_every_split(spark: SparkSession, d: str) -> DataFrame:
+    """As closest_pairs, with every split of a stem: a pair is listed in each relation that it has."""
+    states = _every_split(spark, d).select("stem", F.explode("listed").alias("s"))
+    a, b = (states.select(F.col("stem").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
+    joined = _listed_pairs(spark, d).where("not low and raw is not null").join(a, "a").join(b, "b").withColumn("relation", N.relation(F.col("sa"), F.col("sb")))
+    each = joined.where("relation is not null").select("relation", "raw", "a", "b").distinct()
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("relation").orderBy("raw", "a", "b"))).where("rank <= 5")
+    return ranked.select("relation", "rank", "raw", "a", "b")
+
+
 def contamination_three_way(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of the scorer's list by state, scoring, epsilon and low-info flag, counted by the three relations of splits."""
     states = _stem_states(spark, d)
@@ -153,7 +184,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         multiset_buckets, candidate_counts, scene_pairs_scored, scene_pairs_unique, scene_metrics_by_epsilon, contamination_three_way, evaluation_twins,
-        pairs_touching_moves, stem_components, family_redundancy, closest_pairs, box_shifts,
+        pairs_touching_moves, stem_components, family_redundancy, closest_pairs, box_shifts, contamination_every_split, evaluation_twins_every_split,
+        closest_pairs_every_split,
     )
 }
 
@@ -164,6 +196,8 @@ _LP = f"""lp AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(CASE WHEN raw
     bool_and(coalesce(low_info, n_boxes <= 2, false)) AS low FROM (SELECT *, {S.stem('stem_a')} AS x, {S.stem('stem_b')} AS y FROM scene_pairs) WHERE x <> y GROUP BY 1, 2)"""
 _SS = "ss AS (SELECT stem, min(split) AS listed, min(moved_split) AS moved FROM st WHERE stem IS NOT NULL GROUP BY stem)"
 _BASE = f"WITH RECURSIVE {STATES}, {_SS}, {_LP}"
+_EVERY = f"""WITH {STATES}, {_LP}, sl AS (SELECT stem, 'listed' AS state, split AS s FROM st WHERE stem IS NOT NULL UNION SELECT stem, 'moved', moved_split FROM st WHERE stem IS NOT NULL),
+  jn AS (SELECT p.state, raw, aligned, low, a, b, p.s AS sa, q.s AS sb FROM lp JOIN sl p ON p.stem = a JOIN sl q ON q.stem = b AND q.state = p.state)"""
 _COMP = _BASE + f""", v AS (SELECT DISTINCT stem AS id FROM img WHERE family = 'counter' AND stem IS NOT NULL),
   e AS (SELECT a, b FROM lp WHERE least(raw, aligned) <= 0.05 AND NOT low AND a IN (SELECT id FROM v) AND b IN (SELECT id FROM v)),
   w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -190,6 +224,20 @@ SELECT state, scoring, epsilon, excl_low, count(*) AS pairs, count(*) FILTER (WH
   UNION ALL SELECT b, q.listed, p.listed, least(raw, aligned) FROM lp JOIN ss p ON p.stem = a JOIN ss q ON q.stem = b WHERE NOT low)
 SELECT epsilon, count(DISTINCT s) FILTER (WHERE own = 'test') AS test_twins, count(DISTINCT s) FILTER (WHERE own = 'valid') AS valid_twins FROM t, (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon)
 WHERE other = 'train' AND own IN ('test', 'valid') AND d <= epsilon GROUP BY epsilon""",
+    "contamination_every_split": _EVERY
+    + """, rel AS (SELECT state, a, b, raw, aligned, low, coalesce(bool_or(sa <> sb), false) AS x, """
+    + ", ".join(f"coalesce(bool_or((sa = '{a}' AND sb = '{b}') OR (sa = '{b}' AND sb = '{a}')), false) AS {a}_{b}" for a, b in (("test", "train"), ("valid", "train"), ("test", "valid")))
+    + """ FROM jn GROUP BY ALL)
+SELECT state, k.scoring, e.epsilon, f.excl_low, count(*) AS pairs, count(*) FILTER (WHERE x) AS "cross", count(*) FILTER (WHERE test_train) AS test_train, count(*) FILTER (WHERE valid_train) AS valid_train, count(*) FILTER (WHERE test_valid) AS test_valid
+FROM rel, (VALUES ('raw'), ('aligned')) k(scoring), (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon), (VALUES (false), (true)) f(excl_low)
+WHERE CASE k.scoring WHEN 'raw' THEN raw ELSE aligned END <= e.epsilon AND NOT (f.excl_low AND low) GROUP BY ALL""",
+    "evaluation_twins_every_split": _EVERY
+    + """, t AS (SELECT a AS s, sa AS own, sb AS other, least(raw, aligned) AS d FROM jn WHERE state = 'listed' AND NOT low UNION ALL SELECT b, sb, sa, least(raw, aligned) FROM jn WHERE state = 'listed' AND NOT low)
+SELECT epsilon, count(DISTINCT s) FILTER (WHERE own = 'test') AS test_twins, count(DISTINCT s) FILTER (WHERE own = 'valid') AS valid_twins FROM t, (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon)
+WHERE other = 'train' AND own IN ('test', 'valid') AND d <= epsilon GROUP BY epsilon""",
+    "closest_pairs_every_split": _EVERY
+    + """ SELECT relation, rank::INT AS rank, raw, a, b FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY raw, a, b) AS rank FROM (
+  SELECT DISTINCT least(sa, sb) || '<->' || greatest(sa, sb) AS relation, raw, a, b FROM jn WHERE state = 'listed' AND NOT low AND raw IS NOT NULL AND sa <> sb)) WHERE rank <= 5""",
     "pairs_touching_moves": f"WITH {_LP}, m AS (SELECT DISTINCT {S.stem('filename')} AS s FROM images WHERE group_id IN (SELECT group_id FROM groups_moved))"
     + " SELECT a, b, (a IN (SELECT s FROM m))::INT + (b IN (SELECT s FROM m))::INT AS ends_moved FROM lp WHERE a IN (SELECT s FROM m) OR b IN (SELECT s FROM m)",
     "stem_components": _COMP + " SELECT * FROM comp",

@@ -1,11 +1,17 @@
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from splitwright.operators import graph as G
 from splitwright.operators import scenes as S
+from splitwright.plans import scenes as P
+from splitwright.plans.allocation import _cross_pairs
+from tests.oracle import DATA
 
 
 def test_greedy_takes_the_nearest_first():
@@ -129,3 +135,33 @@ def test_singletons_survive_and_empty_graphs(spark, ws, rows):
 def test_twins(spark, rows):
     df = spark.createDataFrame([("x", "y", "test", "train", 0.01), ("x", "z", "test", "train", 0.04), ("v", "y", "valid", "train", 0.04), ("x", "v", "test", "valid", 0.0)], "a string, b string, sa string, sb string, d double")
     assert rows(S.twin_counts(df, [0.02, 0.05])) == [(0.02, 1, 0), (0.05, 1, 1)]
+
+
+def leaky(spark, folder):
+    """A is in test and train, B in train, C in test, D in valid and test; A-B, A-C, C-D are listed."""
+    images = [(k, f"{n}_jpg.rf.{k:032x}.jpg", s) for k, (n, s) in enumerate([("A", "test"), ("A", "train"), ("B", "train"), ("C", "test"), ("D", "valid"), ("D", "test")])]
+    schema = spark.read.parquet(f"{DATA}/images.parquet").schema
+    known = [dict(zip(("image_id", "filename", "split"), r)) for r in images]
+    spark.createDataFrame([tuple(k.get(f.name) for f in schema) for k in known], StructType([StructField(f.name, f.dataType) for f in schema])).write.parquet(f"{folder}/images.parquet")
+    pairs = [dict(stem_a=a, stem_b=b, raw_max_dist=0.01, aligned_max_dist=0.01, low_info=False, n_boxes=5) for a, b in ("AB", "AC", "CD")]
+    schema = spark.read.parquet(f"{DATA}/scene_pairs.parquet").schema
+    spark.createDataFrame([tuple(p.get(f.name) for f in schema) for p in pairs], StructType([StructField(f.name, f.dataType) for f in schema])).write.parquet(f"{folder}/scene_pairs.parquet")
+    spark.read.parquet(f"{DATA}/groups_moved.parquet").limit(0).write.parquet(f"{folder}/groups_moved.parquet")
+    return str(folder)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
+def test_every_split_of_a_stem_counts(spark, rows, tmp_path):
+    d = leaky(spark, tmp_path)
+    assert rows(P.evaluation_twins_every_split(spark, d).where("epsilon = 0.05")) == [(0.05, 2, 0)]  # A in test by B, C in test by A in train
+    listed = P.contamination_every_split(spark, d).where("state = 'listed' and scoring = 'raw' and epsilon = 0.05 and not excl_low")
+    assert rows(listed.select("pairs", "cross", "test_train", "valid_train", "test_valid")) == [(3, 3, 2, 0, 1)]
+    relations = {(r["a"], r["b"], r["relation"]) for r in P.closest_pairs_every_split(spark, d).collect()}
+    assert relations == {("A", "B", "test<->train"), ("A", "C", "test<->train"), ("C", "D", "test<->valid")}
+
+
+def test_cross_pairs_over_all_splits_of_a_stem(spark):
+    images = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "C"), (5, "D")], "image_id long, stem string")
+    after = spark.createDataFrame([(1, "test", "test"), (2, "train", "train"), (3, "test", "test"), (4, "test", "test"), (5, None, None)], "image_id long, before string, after string")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C"), ("A", "D")], "a string, b string")
+    assert _cross_pairs(pairs, after, images) == 1  # A-B: by its export in train
