@@ -210,5 +210,7 @@ def sizes_held(assignment: DataFrame) -> DataFrame:
 
 
 def sweep_table(rows: Sequence[dict], spark) -> DataFrame:
-    """One row for each setting that was tried."""
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "tau int, n_units long, n_straddling long, n_moved long, n_unmet int, sizes_held boolean, cross_pairs long, satisfies boolean")
+    """One row for each setting that was tried; smallest: the least tau of those that satisfy."""
+    best = min((r["tau"] for r in rows if r["ok"]), default=None)
+    schema = "tau int, n_units long, n_straddling long, n_moved long, n_unmet int, sizes_held boolean, cross_pairs long, satisfies boolean, smallest boolean"
+    return spark.createDataFrame([(*r.values(), r["tau"] == best) for r in rows], schema)

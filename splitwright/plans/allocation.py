@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from .timeline import IMG
 #: Boxes each class should have in valid and in test: chosen so that the smaller data has deficits.
 LEAST = 25
 TAU = 15
+#: Gaps of the reference's sweep, and of its feasibility beside those of unit_feasibility.
+SWEEP = (15, 20, 25, 30, 35, 45, 60)
+FEASIBLE = (3, 5, 10, 15, 30, 60)
 
 
 def _inputs(spark: SparkSession, d: str, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -43,10 +48,20 @@ def class_deficits(spark: SparkSession, d: str) -> DataFrame:
 
 def unit_feasibility(spark: SparkSession, d: str) -> DataFrame:
     """For each class whether two units of at least five boxes could be moved, with bursts cut at 10, 15 and 60 s."""
-    images, boxes, classes, components = _inputs(spark, d, Workspace(spark, "feasible"))
+    return _feasible(spark, d, (10, 15, 60))
+
+
+def unit_feasibility_all_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """As unit_feasibility, with bursts cut at each gap of the reference as well: 3, 5, 10, 15, 30 and 60 s."""
+    return _feasible(spark, d, FEASIBLE)
+
+
+def _feasible(spark: SparkSession, d: str, taus: Sequence[int]) -> DataFrame:
+    ws = Workspace(spark, "feasible")
+    images, boxes, classes, components = _inputs(spark, d, ws)
     out = None
-    for tau in (10, 15, 60):
-        units = A.build_units(images, components, tau)
+    for tau in taus:
+        units = ws.keep(A.build_units(images, components, tau))
         per, cls = A.describe_units(units, images, boxes)
         one = A.feasibility(cls, per, classes, f"tau={tau}s")
         out = one if out is None else out.unionByName(one)
@@ -92,12 +107,13 @@ def _cross_pairs(pairs: DataFrame, after: DataFrame, images: DataFrame) -> int:
 
 
 def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Allocation at several gaps: units, images moved, shortages left, sizes held, cross-split pairs at 0.05."""
+    """Allocation at each gap of the reference's sweep: units, images moved, shortages left, sizes held, cross-split pairs at 0.05, and
+    whether all of that satisfies; smallest marks the least gap that does, no row if none does."""
     ws = Workspace(spark, "sweep")
     images, boxes, classes, components = _inputs(spark, d, ws)
     pairs = ws.keep(scenes._listed_pairs(spark, d).where("not low").select("a", "b", F.least("raw", "aligned").alias("d")).where("d <= 0.05"))
     rows = []
-    for tau in (15, 60):
+    for tau in SWEEP:
         units, per, result = _allocated(images, boxes, classes, components, tau, ws)
         after = ws.keep(A.assignment_after(units, images, result.moves))
         counts = per.agg(F.count("*").alias("n"), F.count_if("mixed").alias("s")).first()
@@ -108,7 +124,7 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     return A.sweep_table(rows, spark)
 
 
-QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, allocated_moves, allocation_sizes, image_level_moves, tau_sweep)}
+QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, unit_feasibility_all_gaps, allocated_moves, allocation_sizes, image_level_moves, tau_sweep)}
 
 _COMP = scenes._COMP.replace("WITH RECURSIVE ", "", 1)
 
@@ -128,5 +144,11 @@ SELECT class_id, split, have, greatest({LEAST} - have, 0) AS short FROM h WHERE
     + " UNION ALL ".join(f"SELECT 'tau={t}s' AS setting, class_id, kind, unit, count(*) AS n FROM box JOIN u{t} USING (image_id) GROUP BY ALL" for t in (10, 15, 60))
     + """), f AS (SELECT s.setting, c.class_id, count(unit) AS n_units, count(*) FILTER (WHERE n >= 5) AS n_qualifying, coalesce(sum(n), 0)::BIGINT AS n_boxes
   FROM classes c CROSS JOIN (VALUES ('tau=10s'), ('tau=15s'), ('tau=60s')) s(setting) LEFT JOIN k ON k.class_id = c.class_id AND k.setting = s.setting GROUP BY ALL)
+SELECT *, CASE WHEN n_units = 0 THEN 'absent' WHEN n_units = 1 THEN 'single_unit' WHEN n_qualifying >= 2 THEN 'has_alternatives' ELSE 'insufficient' END AS verdict FROM f""",
+    "unit_feasibility_all_gaps": f"WITH RECURSIVE {_COMP}, {BOX}, " + ", ".join(_units(t, f"u{t}") for t in FEASIBLE) + ", k AS ("
+    + " UNION ALL ".join(f"SELECT 'tau={t}s' AS setting, class_id, kind, unit, count(*) AS n FROM box JOIN u{t} USING (image_id) GROUP BY ALL" for t in FEASIBLE)
+    + "), f AS (SELECT s.setting, c.class_id, count(unit) AS n_units, count(*) FILTER (WHERE n >= 5) AS n_qualifying, coalesce(sum(n), 0)::BIGINT AS n_boxes FROM classes c CROSS JOIN (VALUES "
+    + ", ".join(f"('tau={t}s')" for t in FEASIBLE)
+    + """) s(setting) LEFT JOIN k ON k.class_id = c.class_id AND k.setting = s.setting GROUP BY ALL)
 SELECT *, CASE WHEN n_units = 0 THEN 'absent' WHEN n_units = 1 THEN 'single_unit' WHEN n_qualifying >= 2 THEN 'has_alternatives' ELSE 'insufficient' END AS verdict FROM f""",
 }

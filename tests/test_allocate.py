@@ -1,4 +1,10 @@
+from pathlib import Path
+
+import pytest
+
 from splitwright.operators import allocate as A
+from splitwright.plans import allocation as P
+from tests.oracle import DATA
 
 
 def case(spark):
@@ -58,3 +64,17 @@ def test_nothing_short_moves_nothing(spark, ws, rows):
     images, member, boxes, classes = case(spark)
     per, cls = A.describe_units(member, images, boxes)
     assert rows(A.allocate(per, cls, boxes, images, classes, ws, least=0).moves) == []
+
+
+def test_sweep_marks_the_smallest_gap_that_satisfies(spark):
+    row = lambda tau, ok: dict(tau=tau, units=1, straddling=0, moved=0, unmet=0, held=True, cross=0, ok=ok)
+    got = A.sweep_table([row(15, False), row(60, True), row(30, True)], spark)
+    assert {r["tau"] for r in got.where("smallest").collect()} == {30}
+    assert A.sweep_table([row(15, False)], spark).where("smallest").isEmpty()
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
+def test_all_gaps_of_the_reference(spark):
+    assert [r["tau"] for r in P.tau_sweep(spark, DATA).orderBy("tau").collect()] == [15, 20, 25, 30, 35, 45, 60]
+    tried = {r["setting"] for r in P.unit_feasibility_all_gaps(spark, DATA).select("setting").distinct().collect()}
+    assert tried >= {f"tau={t}s" for t in (3, 5, 10, 30, 60)}
