@@ -33,7 +33,25 @@ reach(label, stem, other) AS (
 ), named AS (SELECT label, stem, min(other) AS component_id FROM reach GROUP BY label, stem)
 """
 
+_SIDES = f"""
+WITH named AS (SELECT image_id, {_stem('filename')} AS stem, {_split('split')} AS side, filename FROM images WHERE image_id IS NOT NULL AND filename IS NOT NULL),
+sides AS (SELECT image_id, nullif(stem, '') AS stem, min(side) AS side FROM named WHERE side IS NOT NULL GROUP BY image_id, filename, stem)
+"""
+
 ORACLES: dict[str, str] = {
+    "p3_stems": _SIDES
+    + """SELECT DISTINCT least(t.image_id, e.image_id) AS image_a, greatest(t.image_id, e.image_id) AS image_b, 0.0::DOUBLE AS score
+FROM sides t JOIN sides e ON t.stem = e.stem AND t.side = 'train' AND e.side <> 'train'""",
+    "p3_listed": _SIDES
+    + f""", eff AS (
+  SELECT {_stem('stem_a')} AS a, {_stem('stem_b')} AS b,
+         CASE WHEN score IS NOT NULL AND NOT isnan(score) THEN score
+              ELSE least(CASE WHEN NOT isnan(raw_max_dist) THEN raw_max_dist END, CASE WHEN NOT isnan(aligned_max_dist) THEN aligned_max_dist END) END AS s
+  FROM scene_pairs WHERE NOT coalesce(low_info, n_boxes <= 2, false)
+), best AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(s) AS s FROM eff WHERE s <= 0.001 AND a <> '' AND b <> '' GROUP BY 1, 2)
+SELECT DISTINCT least(t.image_id, e.image_id) AS image_a, greatest(t.image_id, e.image_id) AS image_b, s AS score
+FROM best JOIN sides t ON t.stem IN (a, b) JOIN sides e ON e.stem = CASE WHEN t.stem = a THEN b ELSE a END
+WHERE t.side = 'train' AND e.side <> 'train'""",
     "p1_found": _COMPONENTS
     + """SELECT label AS epsilon, component_id, stem FROM (SELECT *, count(*) OVER (PARTITION BY label, component_id) AS n FROM named) WHERE n > 1""",
     "p1_sizes": _COMPONENTS

@@ -44,6 +44,35 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "images"))
 
 
+def _least_first(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("image_t", "image_e").alias("image_a"), F.greatest("image_t", "image_e").alias("image_b"), "score").distinct()
+
+
+def p3_stems(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found that share a stem."""
+    return _least_first(overlap.same_stem(overlap.image_sides(table(spark, d, "images"))))
+
+
+def p3_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found that the earlier scorer listed."""
+    return _least_first(overlap.listed_overlaps(overlap.image_sides(table(spark, d, "images")), table(spark, d, "scene_pairs")))
+
+
+def _records(spark: SparkSession, d: str, ws: Workspace) -> DataFrame:
+    return ws.keep(overlap.box_records(overlap.image_sides(table(spark, d, "images")), table(spark, d, "boxes"), table(spark, d, "classes")))
+
+
+def p3_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found whose boxes are near-same, with their score and the share of their chunks they have in common."""
+    return overlap.scene_overlaps(_records(spark, d, Workspace(spark, "p3"))).distinct()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row an image of six or more boxes: its class of copies, and with how many images of the other side it is near-same."""
+    ws = Workspace(spark, "p3")
+    return overlap.class_links(_records(spark, d, ws), ws)
+
+
 def _plan(spark: SparkSession, d: str) -> keep_together.SplitPlan:
     return keep_together.plan_splits(table(spark, d, "images"), table(spark, d, "groups_moved"), Workspace(spark, "p4"))
 
@@ -114,7 +143,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sizes, p3_found, p3_report, p4_found, p4_groups, p4_assignment, p4_balance, p6_ids, p6_roundtrip,
+        p1_found, p1_sizes, p3_found, p3_report, p3_stems, p3_listed, p3_scenes, p3_classes, p4_found, p4_groups, p4_assignment, p4_balance, p6_ids, p6_roundtrip,
         p7_containers, p7_fill, p8_found, p8_segments, p8_languages,
     )
 }

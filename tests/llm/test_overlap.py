@@ -128,3 +128,76 @@ def test_stems_and_lists(spark, ws, rows):
 
 def test_empty_tables(spark, ws, rows):
     assert rows(found(spark, ws, [], [], rows)[1]) == []
+
+
+@pytest.mark.parametrize("n, spread", [(60, 0.1), (300, 0.1), (100, 0.3)])
+@pytest.mark.parametrize("kind", ["again", "other"])
+def test_crowds_are_matched_in_little_memory(n, spread, kind):
+    import tracemalloc
+
+    rng = np.random.default_rng(n)
+    x, y, c = rng.random(n) * spread, rng.random(n) * spread, np.zeros(n, int)
+    if kind == "again":
+        xb, yb = x + 0.04 + rng.uniform(-0.012, 0.012, n), y - 0.03 + rng.uniform(-0.012, 0.012, n)
+    else:
+        xb, yb = rng.random(n) * spread, rng.random(n) * spread
+    need = n - int(0.07 * n)
+    tracemalloc.start()
+    got = O.best_match(c, x, y, c, xb, yb, need)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert got == n if kind == "again" else got == 0 or got >= need
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_dividing_the_shifts_finds_what_trying_all_corners_finds(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n = 14
+    c, x, y = rng.integers(0, 2, n), rng.random(n) * 0.12, rng.random(n) * 0.12
+    xb, yb = x + 0.02 + rng.uniform(-0.03, 0.03, n), y + rng.uniform(-0.03, 0.03, n)
+    monkeypatch.setattr(O, "MOST_CIRCLES", 10_000)
+    whole = O.best_match(c, x, y, c, xb, yb, 1)
+    monkeypatch.setattr(O, "MOST_CIRCLES", 6)
+    assert O.best_match(c, x, y, c, xb, yb, 1) == whole >= grid_best(c, x, y, c, xb, yb)
+
+
+def test_a_lattice_of_equal_steps():
+    x, y = (v.ravel() * 0.02 + 0.1 for v in np.meshgrid(np.arange(12), np.arange(12)))
+    c = np.zeros(144, int)
+    assert O.best_match(c, x, y, c, x + 0.05, y - 0.05, 140) == 144
+
+
+def test_a_cut_is_where_the_content_says(spark):
+    rng = random.Random(3)
+    many = sorted(rng.getrandbits(62) for _ in range(400))
+    df = spark.createDataFrame([(0, many), (1, many[:200] + many[201:]), (2, many[:2]), (3, many[:1])], "k int, t array<long>")
+    got = {r["k"]: r["c"] for r in df.select("k", O.content_chunks(F.col("t")).alias("c")).collect()}
+    assert [sum(c["length"] for c in got[k]) for k in range(4)] == [400, 399, 2, 1]
+    assert len(got[0]) > 60 and len(set(got[0]) - set(got[1])) <= O.WINDOW + 1
+
+
+def test_an_index_of_linear_size(spark):
+    n = [8, 30, 100, 300, 1000]
+    df = spark.createDataFrame([(k, "t", k, list(range(k))) for k in n], "image_id long, split string, n int, occ array<long>")
+    keys = {r["image_id"]: r["count"] for r in O.index_keys(O.cut_records(df)).groupBy("image_id").count().collect()}
+    assert all(keys.get(k, 0) <= k + 40 for k in n)
+
+
+@pytest.mark.parametrize("n, taken", [(20, 1), (60, 4), (200, 13), (200, 14)])
+def test_the_index_misses_no_record_that_lost_boxes(spark, n, taken):
+    rng = random.Random(n)
+    occ = [k // 7 * 1048576 + k % 7 for k in range(n)]
+    less = [x for k, x in enumerate(occ) if k not in rng.sample(range(n), taken)] if taken == 1 else sorted(rng.sample(occ, n - taken))
+    df = spark.createDataFrame([(1, "t", n, occ), (2, "e", len(less), less)], "image_id long, split string, n int, occ array<long>")
+    assert O.index_candidates(O.cut_records(df)).distinct().count() == 1
+
+
+def test_links_of_classes_count_all_pairs(spark, ws):
+    images, boxes = world(spark, 2)
+    images += [(500 + k, f"f{k}.jpg", "train" if k % 2 else "test", None, None, None, 0, 0) for k in range(1, 20)]
+    tables = spark.createDataFrame(images, IMAGES), spark.createDataFrame(boxes, BOXES), spark.createDataFrame(CLASSES, "class_id int, class_name string")
+    records = ws.keep(O.box_records(O.image_sides(tables[0]), *tables[1:]))
+    pairs = O.scene_overlaps(records).select("image_t", "image_e").collect()
+    links = O.class_links(records, ws).collect()
+    assert sum(r["n_links"] for r in links if r["side"] == "train") == len(pairs) == sum(r["n_links"] for r in links if r["side"] == "evaluation")
+    assert len(links) == records.count()
