@@ -436,13 +436,17 @@ class SceneOverlaps:
     heads: DataFrame
 
 
-def scene_classes(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT) -> SceneOverlaps:
-    """Near-same train and evaluation images; images with the very same boxes are one class, looked up and checked once."""
+def scene_classes(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT, ws: Workspace | None = None) -> SceneOverlaps:
+    """Near-same train and evaluation images; images with the very same boxes are one class, looked up and checked once.
+
+    With a workspace the cut records are written once for the many reads of them.
+    """
+    keep = ws.keep if ws else lambda df: df
     side = F.when(F.col("split") == "train", F.lit("t")).otherwise(F.lit("e"))
     tagged = records.withColumn("split", side).withColumn("same", F.xxhash64("cls", "xs", "ys")).withColumn("same2", F.xxhash64(F.lit(1), "cls", "ys", "xs"))
     members = tagged.select("split", "same", "same2", "image_id")
     heads = tagged.groupBy("split", "same", "same2").agg(F.min("image_id").alias("image_id"))
-    single = cut_records(tagged.join(heads.select("split", "image_id"), ["split", "image_id"], "left_semi"))
+    single = keep(cut_records(tagged.join(heads.select("split", "image_id"), ["split", "image_id"], "left_semi")))
     met = chunk_candidates(single, percent).unionByName(index_candidates(single, percent)).distinct()
     cols = ("n", "cls", "xs", "ys", "occ", "chunks")
     left = single.where("split = 't'").select(F.col("image_id").alias("image_t"), *[F.col(c).alias(f"{c}_a") for c in cols])
@@ -462,13 +466,13 @@ def scene_classes(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT) -> S
     return SceneOverlaps(near, members, heads)
 
 
-def scene_overlaps(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT) -> DataFrame:
+def scene_overlaps(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT, ws: Workspace | None = None) -> DataFrame:
     """(image_t, image_e, score, overlap): train and evaluation images whose boxes are near-same.
 
     Pairs of classes of copies are joined back to their images at the end, so a scene that was copied often costs its result and no
     more. overlap is the fraction of both records' length that lies in content-defined chunks they share.
     """
-    found = scene_classes(records, percent)
+    found = scene_classes(records, percent, ws)
     score = F.round(1 - 2 * F.col("matched") / F.col("total"), 6)
     out = found.near.select("image_t", "image_e", score.alias("score"), "overlap")
     for s in "te":
@@ -482,7 +486,7 @@ def scene_overlaps(records: DataFrame, percent: int = MOST_UNPAIRED_PERCENT) ->
 def class_links(records: DataFrame, ws: Workspace, percent: int = MOST_UNPAIRED_PERCENT) -> DataFrame:
     """(image_id, side, class_id, n_copies, n_links): every record once, with the least image of its set of copies and side, how many are in
     that, and with how many images of the other side it is near-same. No pair of copies is written out."""
-    found = scene_classes(records, percent)
+    found = scene_classes(records, percent, ws)
     size = ws.keep(found.members.groupBy("split", "same", "same2").agg(F.count("*").alias("n_copies"), F.min("image_id").alias("class_id")))
     near = ws.keep(found.near.select("image_t", "image_e"))
     weight = size.select(F.col("class_id").alias("_c"), "n_copies", F.col("split").alias("_s"))
@@ -528,7 +532,7 @@ def cross_split_overlaps(images: DataFrame, boxes: DataFrame, classes: DataFrame
     """
     sides = image_sides(images)
     records = ws.keep(box_records(sides, boxes, classes))
-    parts = (("stem", same_stem(sides)), ("listed", listed_overlaps(sides, pairs)), ("boxes", scene_overlaps(records)))
+    parts = (("stem", same_stem(sides)), ("listed", listed_overlaps(sides, pairs)), ("boxes", scene_overlaps(records, ws=ws)))
     frames = [df.select("image_t", "image_e", F.lit(reason).alias("reason"), "score") for reason, df in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 

@@ -64,7 +64,8 @@ def _records(spark: SparkSession, d: str, ws: Workspace) -> DataFrame:
 
 def p3_scenes(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of p3_found whose boxes are near-same, with their score and the share of their chunks they have in common."""
-    return overlap.scene_overlaps(_records(spark, d, Workspace(spark, "p3"))).distinct()
+    ws = Workspace(spark, "p3")
+    return overlap.scene_overlaps(_records(spark, d, ws), ws=ws).distinct()
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
