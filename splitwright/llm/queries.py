@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..session import Workspace
 from ..sources.tables import table
 from . import encode, keep_together, language, overlap, pack
@@ -80,7 +81,7 @@ def _plan(spark: SparkSession, d: str) -> keep_together.SplitPlan:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups that the present state of the splits tears apart."""
-    return _plan(spark, d).groups.where("torn").select("group_id")
+    return keep_together.torn_groups(table(spark, d, "images"), table(spark, d, "groups_moved"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +103,36 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return n.select("family", "split", "n_images", F.round(F.col("n_images") / total, 4).alias("share"))
 
 
+def p4_together(spark: SparkSession, d: str) -> DataFrame:
+    """Of the groups and of the stems: how many there are, and how many the plan has in more than one split."""
+    at = _plan(spark, d).assignment.select("image_id", "split")
+    images = table(spark, d, "images").where("image_id is not null").select("image_id", F.col("group_id").cast("string").alias("group"), N.stem("filename").alias("stem"))
+    out = None
+    for kind in ("group", "stem"):
+        per = images.where(F.col(kind).isNotNull()).join(at, "image_id").groupBy(kind).agg(F.count_distinct("split").alias("k"), F.count_distinct("image_id").alias("n"))
+        one = per.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count_if(F.col("k") != 1).alias("n_torn"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_images"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Images the shares want in each split, and whether the plan has as many, give or take one."""
+    at = _plan(spark, d).assignment
+    n = at.groupBy("split").agg(F.count("*").alias("n"))
+    total = at.agg(F.count("*").alias("total"))
+    wanted = spark.createDataFrame(list(keep_together.SHARES.items()), "split string, share double").join(total)
+    both = wanted.join(n, "split", "left").select("split", (F.col("share") * F.col("total")).alias("want"), F.coalesce("n", F.lit(0)).alias("n"))
+    return both.select("split", F.round("want", 1).alias("wanted"), (F.abs(F.col("n") - F.col("want")) <= 1).alias("met"))
+
+
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Images of each name family, and whether the plan's excess of it over the shares, in all splits together, is at most a hundredth or ten images."""
+    families = table(spark, d, "images").where("image_id is not null").groupBy("image_id").agg(F.coalesce(F.min("family"), F.lit("")).alias("family"))
+    n = _plan(spark, d).assignment.join(families, "image_id").groupBy("family").agg(F.count("*").alias("n_images"), *[F.count_if(F.col("split") == s).alias(s) for s in keep_together.SHARES])
+    excess = sum(F.greatest(F.col(s) - F.col("n_images") * p, F.lit(0.0)) for s, p in keep_together.SHARES.items())
+    return n.select("family", "n_images", (excess <= F.greatest(F.col("n_images") / 100, F.lit(10.0))).alias("balanced"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode(table(spark, d, "documents"))
@@ -144,7 +175,8 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_sizes, p3_found, p3_report, p3_stems, p3_listed, p3_scenes, p3_classes, p4_found, p4_groups, p4_assignment, p4_balance, p6_ids, p6_roundtrip,
+        p1_found, p1_sizes, p3_found, p3_report, p3_stems, p3_listed, p3_scenes, p3_classes, p4_found, p4_groups, p4_assignment, p4_balance,
+        p4_together, p4_shares, p4_labels, p6_ids, p6_roundtrip,
         p7_containers, p7_fill, p8_found, p8_segments, p8_languages,
     )
 }
