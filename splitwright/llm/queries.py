@@ -145,16 +145,53 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return documents.join(back, "doc_id").select("doc_id", F.col("text").eqNullSafe(F.col("decoded")).alias("same"))
 
 
+def p6_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes that the token ids of each document stand for."""
+    return encode.count_bytes(encode.encode(table(spark, d, "documents")))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every piece of every document."""
     return pack.pack(pack.pieces(table(spark, d, "documents")), Workspace(spark, "p7"))
 
 
+def _used(containers: DataFrame) -> DataFrame:
+    return containers.groupBy("container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How many containers there are, the least possible number, and the tokens left unused."""
-    used = p7_containers(spark, d).groupBy("container_id").agg(F.sum("tokens").alias("used"))
-    n = used.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"))
-    return n.select("n_containers", F.ceil(F.col("n_tokens") / pack.CAPACITY).alias("least_possible"), "n_tokens", (F.col("n_containers") * pack.CAPACITY - F.col("n_tokens")).alias("unused"))
+    """How many containers there are, the least possible number, the tokens left unused, and how many each of the limits closed."""
+    placed = Workspace(spark, "p7").keep(p7_containers(spark, d))
+    limit = pack.loss_limit(placed)
+    used = _used(placed)
+    n = used.agg(
+        F.count("*").alias("n_containers"),
+        F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"),
+        F.count_if(F.col("used") == pack.CAPACITY).alias("n_full"),
+        F.count_if(F.col("segments") == pack.SEGMENTS).alias("n_at_segments"),
+        F.count_if((F.col("segments") > 1) & (F.col("loss") == limit)).alias("n_at_loss"),
+    )
+    return n.select(
+        "n_containers", F.ceil(F.col("n_tokens") / pack.CAPACITY).alias("least_possible"), "n_tokens", (F.col("n_containers") * pack.CAPACITY - F.col("n_tokens")).alias("unused"), "n_full", "n_at_segments", "n_at_loss"
+    )
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were placed, and how often a promise was broken: a limit passed, a piece twice or missing, a text cut that needn't be."""
+    placed = Workspace(spark, "p7").keep(p7_containers(spark, d))
+    limit = pack.loss_limit(placed)
+    used = _used(placed).agg(
+        F.count_if(F.col("used") > pack.CAPACITY).alias("over_capacity"),
+        F.count_if(F.col("segments") > pack.SEGMENTS).alias("over_segments"),
+        F.count_if((F.col("segments") > 1) & (F.col("loss") > limit)).alias("over_loss"),
+    )
+    per = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("tokens"))
+    whole = per.agg(
+        F.count("*").alias("n_documents"),
+        F.count_if((F.col("n") != F.col("pieces")) | (F.col("n") != F.col("last") + 1)).alias("wrong_pieces"),
+        F.count_if(F.col("n") != F.ceil(F.col("tokens") / pack.CAPACITY)).alias("needless_cuts"),
+    )
+    return used.crossJoin(whole)  # one row by one row
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -176,8 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_sizes, p3_found, p3_report, p3_stems, p3_listed, p3_scenes, p3_classes, p4_found, p4_groups, p4_assignment, p4_balance,
-        p4_together, p4_shares, p4_labels, p6_ids, p6_roundtrip,
-        p7_containers, p7_fill, p8_found, p8_segments, p8_languages,
+        p4_together, p4_shares, p4_labels, p6_ids, p6_roundtrip, p6_bytes,
+        p7_containers, p7_fill, p7_checks, p8_found, p8_segments, p8_languages,
     )
 }
 __all__ = ["QUERIES", "ORACLES"]

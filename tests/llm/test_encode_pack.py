@@ -103,3 +103,36 @@ def test_too_large_an_item_is_an_error(spark, ws):
 
 def test_nothing_to_pack(spark, ws, rows):
     assert rows(P.pack(P.pieces(documents(spark, ["", None])), ws)) == []
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    import random
+
+    rng, tokenizer = random.Random(5), E.load(PATH)
+    odd = [chr(c) for c in (*range(256), 0x2BC, 0x300, 0x345, 0x3F4, 0x660, 0x1680, 0x180E, 0x2028, 0x202F, 0x2160, 0xFEFF, 0x1F600, 0x1FAE8, 0x20000)]
+    texts = ["".join(rng.choice(["a", " ", "  ", "7", "'s", "'", "\n", "!", "é", rng.choice(odd)]) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    assert E.encode_texts(texts, PATH) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_prompts_bear_no_loss(spark):
+    texts = ["Say it. Then more words", "One line\nand another", "no prompt at all.", "½ odd. And more"]
+    sizes = list(P.text_sizes(texts, PATH))
+    ids = E.encode_texts(["Say it.", "One line\n", "", "½ odd."], PATH)
+    assert [p for _, p in sizes] == [len(i) for i in ids]
+    got = {r["doc_id"]: (r["tokens"], r["loss_tokens"]) for r in P.pieces(documents(spark, texts)).collect()}
+    assert got == {k: (n, n - max(1, p)) for k, (n, p) in enumerate(sizes)}
+
+
+def test_an_item_over_a_side_limit_is_alone():
+    tokens, loss = np.array([50, 50, 10, 10, 10]), np.array([45, 5, 0, 0, 0])
+    out = P.fill(tokens, loss, 100, 3, 40)
+    assert (out == out[0]).sum() == 1 and (np.bincount(out) <= 3).all()
+
+
+def test_every_shard_is_a_task_and_leavings_meet(spark, ws):
+    # sizes that combine badly: nothing but more than a third and less than a half
+    items = spark.range(4000).selectExpr("id AS doc_id", "0 AS piece", "0L AS first_token", "CAST(700 + pmod(xxhash64(id), 320) AS int) AS tokens", "100 AS loss_tokens")
+    got = P.pack(items, ws, shard=500)
+    assert got.count() == 4000 and got.select("doc_id").distinct().count() == 4000
+    used = [r["u"] for r in got.groupBy("container_id").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "u").collect()]
+    assert max(used) <= 2048 and len(used) <= 2010
