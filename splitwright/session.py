@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,12 +43,13 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
 _own: dict[str, str] = {}
 
 
-def _scratch_root(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only when everything is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
+        return root.rstrip("/")
+    # local-cluster has several processes, as a cluster has
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     _own[spark.sparkContext.applicationId] = root = "file://" + tempfile.mkdtemp(prefix="splitwright-")
     return root
@@ -86,7 +88,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
         self.spark = spark
-        self.base = f"{_scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._next = 0
         atexit.register(self._remove, self.base)
 
