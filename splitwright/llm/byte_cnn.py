@@ -50,10 +50,19 @@ class ByteCNN:
             kept.append((where, at))
         return np.concatenate(pooled, 1), kept
 
-    def log_probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
-        out = []
-        for k in range(0, len(x), batch):
-            z = self._features(x[k : k + batch])[0] @ self.weights["out"] + self.weights["out_bias"]
+    def log_probabilities(self, x: np.ndarray, batch: int = 32) -> np.ndarray:
+        """Of each window and class. Places lead and windows follow, so that pooling runs over whole rows; a batch stays in the cache."""
+        w, out = self.weights, []
+        d = w["embed"].shape[1]
+        for b in range(0, len(x), batch):
+            e = w["embed"][x[b : b + batch].T]
+            length, n = e.shape[:2]
+            pooled = []
+            for k in self.widths:
+                places = length - k + 1
+                h = sum(e[o : o + places].reshape(-1, d) @ w[f"conv{k}"][o * d : (o + 1) * d] for o in range(k))
+                pooled.append(np.maximum(h.reshape(places, n, -1).max(0) + w[f"bias{k}"], 0))
+            z = np.concatenate(pooled, 1) @ w["out"] + w["out_bias"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.classes)), np.float32)

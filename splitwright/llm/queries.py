@@ -209,12 +209,27 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(language.detect(table(spark, d, "documents"))).select("doc_id", "lang", "n_sentences", F.round("confidence", 4).alias("confidence"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and how often a promise of the segments was broken: out of the text, out of order, overlapping, or without a confidence."""
+    documents = table(spark, d, "documents")
+    found = language.detect(documents)
+    along = Window.partitionBy("doc_id").orderBy("segment")  # the segments of one text
+    placed = found.where("segment is not null").withColumns({"before": F.lag("end").over(along), "lang_before": F.lag("lang").over(along)})
+    size = documents.select("doc_id", F.length("text").alias("size"))
+    wrong = placed.join(size, "doc_id").agg(
+        F.count_if((F.col("start") < 0) | (F.col("end") > F.col("size")) | (F.col("start") >= F.col("end"))).alias("out_of_text"),
+        F.count_if((F.col("start") < F.col("before")) | (F.col("lang") == F.col("lang_before"))).alias("out_of_order"),
+        F.count_if(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("without_confidence"),
+    )
+    return found.agg(F.count_distinct("doc_id").alias("n_documents")).crossJoin(wrong)  # one row by one row
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_sizes, p3_found, p3_report, p3_stems, p3_listed, p3_scenes, p3_classes, p4_found, p4_groups, p4_assignment, p4_balance,
         p4_together, p4_shares, p4_labels, p6_ids, p6_roundtrip, p6_bytes,
-        p7_containers, p7_fill, p7_checks, p8_found, p8_segments, p8_languages,
+        p7_containers, p7_fill, p7_checks, p8_found, p8_segments, p8_languages, p8_checks,
     )
 }
 __all__ = ["QUERIES", "ORACLES"]

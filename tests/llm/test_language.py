@@ -156,3 +156,38 @@ def test_nothing_to_learn_from(spark, rows):
     assert {r["lang"] for r in L.detect(df).collect()} == {None}
     assert rows(L.label_errors(L.detect(df))) == []
     assert rows(L.detect(frame(spark, []))) == []
+
+
+def test_the_same_documents_train_once(spark, monkeypatch):
+    rng = random.Random(8)
+    df = frame(spark, [(c, text(c, rng)) for c in PARTS for _ in range(12)])
+    first = L.trained(df)
+    L._networks.clear()
+    monkeypatch.setattr(L, "_train_on", None)  # a second training would fail
+    again = L.trained(df)
+    assert again.classes == first.classes
+    assert all(np.array_equal(again.weights[k], v) for k, v in first.weights.items())
+
+
+def test_long_sentences_are_sampled_over_their_whole_length(spark):
+    long = " ".join("".join(chr(97 + k // 26**e % 26) for e in range(4)) for k in range(4000)) + " lastword."
+    parts = [p for _, p in L.labelled_sample(frame(spark, [("en", long)]))]
+    assert 2 < len(parts) <= L.SAMPLE_WINDOWS and len(set(parts)) > 1
+    data = L.clean(long).encode()
+    assert max(data.find(p) for p in parts) > len(data) * 0.8
+
+
+def test_short_texts_get_a_language_that_does_not_count(spark, net):
+    df = frame(spark, [(None, "stand gestern"), (None, "IMG_0001.jpg"), (None, "12 34"), (None, PARTS["en"][0][0] + " on it.\n" + PARTS["ru"][0][0] + " там.")])
+    found = L.detect(df, net)
+    assert found.where("in_text").count() == 0 == L.label_errors(found).count()
+    got = {r["doc_id"]: r for r in L.document_languages(found).collect()}
+    assert set(got) == {0, 3} and got[0]["n_sentences"] == 0 and got[3]["n_sentences"] == 1
+
+
+def test_windows_in_any_batch_are_read_alike(net):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (77, 64)).astype(np.uint8)
+    f = net._features(x)[0] @ net.weights["out"] + net.weights["out_bias"]
+    want = f - np.logaddexp.reduce(f, axis=1)[:, None]
+    assert np.allclose(net.log_probabilities(x), want, atol=1e-4) and np.allclose(net.log_probabilities(x, 5), want, atol=1e-4)
