@@ -1,14 +1,13 @@
 """Grouping activity into sessions by occupancy bitmaps.
 
 Time is a line of bits, one a second, kept as 64-bit words for each entity (only words with a bit set
-exist, as in a compressed bitmap). A morphological closing sized to the gap, done by doubling shifts, fills
-the silences inside a word that don't cut; the runs of ones that are left are read off their edges, trimmed to
-the seconds that were occupied, the counts of the seconds in a run are summed, and runs of neighbouring
-words are joined where the silence between them doesn't cut either.
-
-Words are built by an aggregation with map-side combine. Runs are joined in two steps: inside blocks of
-2^16 seconds and then, with only the first and the last run of each block, along the entity. So an entity
-that holds a third of all events is worked on block by block and never by one task.
+exist, as in a compressed bitmap). A morphological closing sized to the gap fills every silence that doesn't cut: inside a word
+by doubling shifts, and from word to word by a carry, the part of the neighbouring word's fill that reaches over, whether one word on or
+many. An occupied second that no fill from below reaches begins a run. A run's words name their last beginning, so its pieces meet in one
+aggregation, which trims the run to its first and last occupied second and sums the counts.
+
+Words are built by an aggregation with map-side combine. What a word must know of others comes from its block of 2^16 seconds and, at the
+block's edges, from one row for each block. So an entity that holds a third of all events is worked on block by block and never by one task.
 """
 
 from __future__ import annotations
@@ -22,34 +21,28 @@ WORD_BITS = 6
 BLOCK_BITS = 16
 
 
-def _dilate(bits: Column, reach: int, up: bool) -> Column:
-    """Every one also sets the ``reach`` bits above (or below) it: shifts of 1, 2, 4, ... and a rest."""
+def _dilate(bits: Column, reach: int) -> Column:
+    """Every one also sets the ``reach`` bits above it: shifts of 1, 2, 4, ... and a rest."""
     done = 0
     while done < reach:
         step = min(done + 1, reach - done)
-        bits = bits.bitwiseOR(F.shiftleft(bits, step) if up else F.shiftrightunsigned(bits, step))
+        bits = bits.bitwiseOR(F.shiftleft(bits, step))
         done += step
     return bits
 
 
-def run_edges(bits: Column, gap: int) -> tuple[Column, Column]:
-    """Words with a one where a run of the closed word begins, and where it ends.
+def run_begins(bits: Column, base: Column, before: Column, gap: int) -> Column:
+    """The word's ones that begin a run: none of the ``gap`` seconds below them is occupied, in this word or in an earlier one.
 
-    The closing's fill reaches ``gap`` bits from a one, so a one that no fill from below reaches begins a run,
-    one that none from above reaches ends it; that trims the fill off both ends at the same time.
+    base: second of the word's lowest bit; before: last occupied second of the words before, null if there is none. The fill of this word's
+    ones is dilated by doubling shifts; that of earlier words reaches ``gap`` seconds over their last one, which fills the word's lower bits.
     """
-    reach = min(gap, 64) - 1
-    filled_up = _dilate(F.shiftleft(bits, 1), reach, up=True)
-    filled_down = _dilate(F.shiftrightunsigned(bits, 1), reach, up=False)
-    return bits.bitwiseAND(F.bitwise_not(filled_up)), bits.bitwiseAND(F.bitwise_not(filled_down))
-
-
-def _joined(runs: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Runs of the same keys with no more than ``gap`` seconds between them, made one."""
-    along = Window.partitionBy(*keys).orderBy("start_s")
-    cut = F.coalesce(F.col("start_s") - F.lag("end_s").over(along) > gap, F.lit(True))
-    numbered = runs.withColumn("_cut", cut.cast("int")).withColumn("_run", F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("n").alias("n"))
+    filled = _dilate(F.shiftleft(bits, 1), min(gap, 64) - 1)
+    reach = before + gap - base  # the highest bit the carry fills
+    full, none = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    low = F.call_function("shiftrightunsigned", full, (63 - F.least(F.greatest(reach, F.lit(0)), F.lit(63))).cast("int"))
+    carry = F.when(reach >= 0, low).otherwise(none)
+    return bits.bitwiseAND(F.bitwise_not(filled.bitwiseOR(carry)))
 
 
 def sessions(events: DataFrame, entity: str, second: str, gap: int) -> DataFrame:
@@ -72,31 +65,42 @@ def sessions(events: DataFrame, entity: str, second: str, gap: int) -> DataFrame
         # at most 64 seconds in a word
         F.sort_array(F.collect_list(F.struct(pos.alias("pos"), F.col("n").alias("n")))).alias("secs"),
     )
-    begins, ends = run_edges(F.col("bits"), gap)
-    marked = words.select("_entity", "_word", "secs", begins.alias("begins"), ends.alias("ends"))
-
-    def places(mask: str) -> Column:
-        return F.transform(F.filter("secs", lambda x: F.getbit(F.col(mask), x["pos"]) == 1), lambda x: x["pos"])
-
-    edges = marked.select("_entity", "_word", "secs", F.explode(F.arrays_zip(places("begins").alias("a"), places("ends").alias("b"))).alias("run"))
     base = F.shiftleft("_word", WORD_BITS)
-    inside = F.filter("secs", lambda x: x["pos"].between(F.col("run.a"), F.col("run.b")))
-    runs = edges.select(
+    placed = words.select(
+        "_entity", "_word", F.shiftright("_word", BLOCK_BITS - WORD_BITS).alias("_block"), "bits", "secs", (base + F.element_at("secs", -1)["pos"]).alias("_last")
+    )
+    known = _from_before(placed, "_last", "_before")
+    begun = known.withColumn("_begins", run_begins(F.col("bits"), base, F.col("_before"), gap)).withColumn(
+        "_at", F.transform(F.filter("secs", lambda x: F.getbit("_begins", x["pos"]) == 1), lambda x: x["pos"])
+    )
+    begun = begun.withColumn("_latest", F.when(F.size("_at") > 0, base + F.array_max("_at"))).drop("bits", "_last", "_before", "_begins")
+    # seconds before the word's first beginning go on with the run that began last
+    carried = _from_before(begun, "_latest", "_open")
+    first = F.element_at("secs", 1)["pos"]
+    open_first = F.when(F.get("_at", F.lit(0)) == first, F.col("_at")).otherwise(F.concat(F.array(F.lit(-1)), F.col("_at")))
+    parts = carried.withColumn("_from", open_first).select(
+        "_entity", "_word", "secs", "_open", F.explode(F.transform("_from", lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get("_from", i + 1), F.lit(64)).alias("b")))).alias("part")
+    )
+    inside = F.filter("secs", lambda x: (x["pos"] >= F.col("part.a")) & (x["pos"] < F.col("part.b")))
+    runs = parts.select(
         "_entity",
-        F.shiftright("_word", BLOCK_BITS - WORD_BITS).alias("_block"),
-        (base + F.col("run.a")).alias("start_s"),
-        (base + F.col("run.b")).alias("end_s"),
+        F.when(F.col("part.a") >= 0, base + F.col("part.a")).otherwise(F.col("_open")).alias("start_s"),
+        (base + F.array_max(F.transform(inside, lambda x: x["pos"]))).alias("end_s"),
         F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"),
     )
-    blocks = _joined(runs, ["_entity", "_block"], gap)
-    whole = Window.partitionBy("_entity", "_block")
-    edged = blocks.withColumn("_edge", (F.col("start_s") == F.min("start_s").over(whole)) | (F.col("end_s") == F.max("end_s").over(whole)))
-    cols = ["_entity", "start_s", "end_s", "n"]
-    inner = edged.where(~F.col("_edge")).select(*cols)
-    across = _joined(edged.where("_edge").select(*cols), ["_entity"], gap).select(*cols)
-    return inner.unionByName(across).select(
-        F.col("_entity").alias(entity), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "n"
-    )
+    whole = runs.groupBy("_entity", "start_s").agg(F.max("end_s").alias("end_s"), F.sum("n").alias("n"))
+    return whole.select(F.col("_entity").alias(entity), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "n")
+
+
+def _from_before(words: DataFrame, value: str, name: str) -> DataFrame:
+    """words with ``name``: the greatest value of the entity's earlier words, null if none has one. Values grow from word to word."""
+    along = Window.partitionBy("_entity", "_block").orderBy("_word").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = words.groupBy("_entity", "_block").agg(F.max(value).alias("_m"))
+    earlier = Window.partitionBy("_entity").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    carried = blocks.select(F.col("_entity").alias("_e"), F.col("_block").alias("_b"), F.max("_m").over(earlier).alias("_carried"))
+    inside = words.withColumn("_inside", F.max(value).over(along))
+    joined = inside.join(carried, (F.col("_entity") == F.col("_e")) & (F.col("_block") == F.col("_b")))
+    return joined.select(*words.columns, F.coalesce("_inside", "_carried").alias(name))
 
 
 def captures(images: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from splitwright.operators import bursts as B
 
@@ -48,6 +49,23 @@ def test_long_dense_session_spans_blocks(spark):
     assert run(spark, times, 10) == [(0, 299_990, 299_990, len(times))]
 
 
+@pytest.mark.parametrize("gap", [50, 100, 200])
+def test_a_run_goes_on_over_words_by_the_closing(spark, gap):
+    # one second in each of the words 0, 1, 3 and 6: the closing must carry over none, one and two empty words
+    times = [60, 64 + 40, 3 * 64 + 10, 6 * 64 + 5]
+    assert run(spark, times, gap) == sorted(brute(times, gap))
+
+
+def test_where_runs_begin_in_a_word(spark):
+    def begins(bits, before, gap):
+        df = spark.createDataFrame([(bits, 640, before)], "bits long, base long, before long")
+        return df.select(B.run_begins(F.col("bits"), F.col("base"), F.col("before"), gap)).first()[0]
+
+    assert begins(0b1001, None, 3) == 0b0001 and begins(0b1001, None, 2) == 0b1001
+    assert begins(0b1001, 637, 3) == 0 and begins(0b1001, 636, 3) == 0b0001 and begins(-(2**63), 100, 603) == 0
+    assert begins(-(2**63) | 1, 639, 1) == -(2**63) and begins(1, 0, 639) == 1 and begins(1, 0, 640) == 0
+
+
 def test_bad_gap():
     with pytest.raises(ValueError):
         B.sessions(None, "k", "t", 0)
