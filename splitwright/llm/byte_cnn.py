@@ -50,19 +50,27 @@ class ByteCNN:
             kept.append((where, at))
         return np.concatenate(pooled, 1), kept
 
-    def log_probabilities(self, x: np.ndarray, batch: int = 32) -> np.ndarray:
-        """Of each window and class. Places lead and windows follow, so that pooling runs over whole rows; a batch stays in the cache."""
+    def log_probabilities(self, x: np.ndarray, batch: int = 16) -> np.ndarray:
+        """Of each window and class.
+
+        All filters, padded to the widest, are one matrix. Places lead and windows follow, so that pooling runs over whole rows; a batch stays in
+        the cache.
+        """
         w, out = self.weights, []
-        d = w["embed"].shape[1]
+        d, wide = w["embed"].shape[1], max(self.widths)
+        filters = w["out"].shape[0] // len(self.widths)
+        matrix = np.zeros((wide * d, filters * len(self.widths)), w["out"].dtype)
+        for i, k in enumerate(self.widths):
+            matrix[: k * d, i * filters : (i + 1) * filters] = w[f"conv{k}"]
+        bias = np.concatenate([w[f"bias{k}"] for k in self.widths])
         for b in range(0, len(x), batch):
-            e = w["embed"][x[b : b + batch].T]
-            length, n = e.shape[:2]
-            pooled = []
-            for k in self.widths:
-                places = length - k + 1
-                h = sum(e[o : o + places].reshape(-1, d) @ w[f"conv{k}"][o * d : (o + 1) * d] for o in range(k))
-                pooled.append(np.maximum(h.reshape(places, n, -1).max(0) + w[f"bias{k}"], 0))
-            z = np.concatenate(pooled, 1) @ w["out"] + w["out_bias"]
+            t = x[b : b + batch].T
+            length, n = t.shape
+            e = np.zeros((length + wide - 1, n, d), w["embed"].dtype)
+            e[:length] = w["embed"][t]
+            h = (np.concatenate([e[o : o + length] for o in range(wide)], 2).reshape(-1, wide * d) @ matrix).reshape(length, n, -1)
+            top = np.concatenate([h[: length - k + 1, :, i * filters : (i + 1) * filters].max(0) for i, k in enumerate(self.widths)], 1)
+            z = np.maximum(top + bias, 0) @ w["out"] + w["out_bias"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.classes)), np.float32)

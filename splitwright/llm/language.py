@@ -14,6 +14,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ SAMPLE_REPEATS = 6
 #: A sentence under this confidence counts for the text's main language, unless that is very unlikely for it.
 SURE = 0.9
 
-_BOUNDARY = re.compile(r"[\n\r\u2028\u2029\u0085]+|[。！？]|[.!?…](?=[\"”»)\]']*\s)")
+_BOUNDARY = re.compile(r"[\n\r\u2028\u2029\u0085。！？.!?…](?:(?<![.!?…])|(?=[\"”»)\]']*\s))")
 # a full stop after a number may be that of an ordinal: a capital letter must follow, behind a mark maybe
 _CAPITAL = re.compile(r"\s+(?:[^\w\s]{1,3}\s+)?[^\W\d_a-zà-öø-ÿ]")
 # before a small letter it ends a sentence only if enough stands on both sides
@@ -75,7 +76,7 @@ def clean(sentence: str) -> str:
     """Its words as the network reads them, or '' if it is no sentence."""
     bare = _CODE.sub(" ", _QUOTED.sub(" ", sentence))
     han = 0 if bare.isascii() else len(_HAN.findall(bare))
-    words = len(_WORD.findall(bare))
+    words = sum(1 for _ in islice(_WORD.finditer(bare), 4))
     ended = sentence.rstrip().rstrip(" \"”»)]'").endswith((".", "!", "?", "。", "！", "？", "…"))
     if not (han >= 4 or words >= 4 or (words >= 2 and ended)):
         return ""
