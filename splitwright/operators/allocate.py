@@ -23,34 +23,39 @@ EVALUATION = ("test", "valid")
 FETCH = 500
 
 
-def build_units(images: DataFrame, components: DataFrame, tau: int, key: str = "key", second: str = "second") -> DataFrame:
-    """(image_id, unit): every image in exactly one unit that moves as a whole.
+def build_units(images: DataFrame, components: DataFrame, taus: int | Sequence[int], key: str = "key", second: str = "second") -> DataFrame:
+    """(image_id, unit), or (tau, image_id, unit) for several taus: every image in exactly one unit that moves as a whole.
 
     A timed image belongs to its burst at ``tau``; another one to its stem's component (id, component); what neither
-    reaches, rows with a null key included, is a unit of its own.
+    reaches, rows with a null key included, is a unit of its own. All taus are swept in one pass over the timeline.
     """
-    bursts = timeline.session_starts(images, key, second, ["image_id"], [tau]).select("image_id", F.concat_ws(":", F.lit("burst"), F.col(key), F.col("start_s")).alias("burst"))
+    several = [taus] if isinstance(taus, int) else list(taus)
+    starts = timeline.session_starts(images.select("image_id", key, second), key, second, ["image_id"], several)
+    bursts = starts.select("image_id", "tau", F.concat_ws(":", F.lit("burst"), F.col(key), F.col("start_s")).alias("burst"))
     linked = components.select(F.col("id").alias("_stem"), F.concat(F.lit("scene:"), F.col("component")).alias("scene"))
-    return (
-        images.join(bursts, "image_id", "left")
-        .join(linked, images["stem"] == linked["_stem"], "left")
-        .select("image_id", F.coalesce("burst", "scene", F.concat(F.lit("image:"), F.col("image_id").cast("string"))).alias("unit"))
+    untimed = images.where(F.col(key).isNull() | F.col(second).isNull()).select("image_id", "stem")
+    others = untimed.join(linked, F.col("stem") == F.col("_stem"), "left").select(
+        "image_id", F.explode(F.array(*[F.lit(t) for t in several])).alias("tau"), F.coalesce("scene", F.concat(F.lit("image:"), F.col("image_id").cast("string"))).alias("burst")
     )
+    out = bursts.unionByName(others).select("tau", "image_id", F.col("burst").alias("unit"))
+    return out.drop("tau") if isinstance(taus, int) else out
 
 
 def describe_units(units: DataFrame, images: DataFrame, boxes: DataFrame, split: str = "split") -> tuple[DataFrame, DataFrame]:
-    """(unit, n, only_split, mixed) and (unit, class_id, n_boxes, n_dates): what the allocator needs to know of each unit.
+    """(unit, n, only_split, mixed) and (unit, class_id, n_boxes): what the allocator needs to know of each unit, by tau where units have one.
 
     only_split is null for a unit with images of several splits or of none. boxes: image_id, class_id.
     """
-    joined = units.join(images.select("image_id", split, "bucket"), "image_id")
+    keys = [c for c in ("tau", "unit") if c in units.columns]
     known = F.col(split)
-    per = joined.groupBy("unit").agg(
+    per = units.join(images.select("image_id", split), "image_id").groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.when(F.min(F.coalesce(known, F.lit("?"))) == F.max(F.coalesce(known, F.lit("?"))), F.min(known)).alias("only_split"),
         (F.count_distinct(known) > 1).alias("mixed"),
     )
-    classes = units.join(boxes.select("image_id", "class_id"), "image_id").groupBy("unit", "class_id").agg(F.count("*").alias("n_boxes"))
+    # boxes of an image and class are counted before the image is repeated for each tau
+    held = boxes.groupBy("image_id", "class_id").agg(F.count("*").alias("k"))
+    classes = units.join(held, "image_id").groupBy(*keys, "class_id").agg(F.sum("k").alias("n_boxes"))
     return per, classes
 
 
@@ -62,23 +67,23 @@ def class_deficits(boxes: DataFrame, images: DataFrame, classes: DataFrame, leas
     return full.select("class_id", each.alias("e")).select("class_id", "e.split", "e.have", F.greatest(F.lit(least) - F.col("e.have"), F.lit(0)).alias("short"))
 
 
-def feasibility(unit_classes: DataFrame, units: DataFrame, classes: DataFrame, setting: str, least: int = LEAST) -> DataFrame:
+def feasibility(unit_classes: DataFrame, classes: DataFrame, settings: Sequence[str], least: int = LEAST) -> DataFrame:
     """(setting, class_id, n_units, n_qualifying, n_boxes, verdict): could the class be given to two splits by moving whole units?
 
-    A unit qualifies with at least ``least`` boxes of the class. No unit: absent; one: single_unit; two that
-    qualify: has_alternatives; otherwise insufficient.
+    unit_classes: setting, unit, class_id, n_boxes. A unit qualifies with at least ``least`` boxes of the class. No unit: absent; one:
+    single_unit; two that qualify: has_alternatives; otherwise insufficient. Every setting has a row for every class.
     """
-    per = unit_classes.join(units.select("unit"), "unit").groupBy("class_id").agg(
+    per = unit_classes.groupBy("setting", "class_id").agg(
         F.count("*").alias("n_units"), F.count_if(F.col("n_boxes") >= least).alias("n_qualifying"), F.sum("n_boxes").alias("n_boxes")
     )
-    full = classes.select("class_id").join(per, "class_id", "left").na.fill(0)
+    full = classes.select("class_id", F.explode(F.array(*[F.lit(s) for s in settings])).alias("setting")).join(per, ["setting", "class_id"], "left").na.fill(0)
     verdict = (
         F.when(F.col("n_units") == 0, "absent")
         .when(F.col("n_units") == 1, "single_unit")
         .when(F.col("n_qualifying") >= 2, "has_alternatives")
         .otherwise("insufficient")
     )
-    return full.select(F.lit(setting).alias("setting"), "class_id", "n_units", "n_qualifying", "n_boxes", verdict.alias("verdict"))
+    return full.select("setting", "class_id", "n_units", "n_qualifying", "n_boxes", verdict.alias("verdict"))
 
 
 def sizes_summing_to(counts: dict[int, int], target: int) -> dict[int, int] | None:
@@ -133,8 +138,9 @@ def allocate(
     judged one by one; their sizes must sum up exactly, else the split is reported and stays as it is.
     """
     spark = units.sparkSession
-    short = {(r["class_id"], r["split"]): r["short"] for r in class_deficits(boxes, images, classes, least).where("short > 0").collect()}  # at most two a class
-    have = {(r["class_id"], r["split"]): r["have"] for r in class_deficits(boxes, images, classes, least).collect()}
+    held = class_deficits(boxes, images, classes, least).collect()  # two a class
+    short = {(r["class_id"], r["split"]): r["short"] for r in held if r["short"] > 0}
+    have = {(r["class_id"], r["split"]): r["have"] for r in held}
     needed = [c for c, _ in short]
     luck = F.xxhash64(F.lit(seed), F.col("unit"))
     train = units.where("only_split = 'train'").select("unit", "n", luck.alias("luck"))
@@ -153,7 +159,7 @@ def allocate(
             for k, s in enumerate(EVALUATION)
         ]
         ranked = pool.select("unit", "n", "luck", "has", F.greatest(*options).alias("o")).where("o.rate > 0")
-        left = ranked.where(~F.col("unit").isin(*taken)) if taken else ranked
+        left = ranked.join(F.broadcast(spark.createDataFrame([(u,) for u in taken], "unit string")), "unit", "left_anti") if taken else ranked
         top = left.orderBy(F.desc("o"), "unit").limit(FETCH).collect()
         if not top:
             break

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Workspace
+
 #: Seconds of one block of a key's timeline.
 BLOCK_S = 86_400
 
@@ -57,33 +59,42 @@ def with_previous(df: DataFrame, key: str, second: str, order: Sequence[str], ca
 def session_starts(df: DataFrame, key: str, second: str, order: Sequence[str], taus: Sequence[float], block_s: int = BLOCK_S) -> DataFrame:
     """df once for each tau, with ``tau`` and ``start_s``, the first time of the row's session.
 
-    A gap of at most tau joins (single linkage); tau and start_s identify a session of the key.
+    A gap of at most tau joins (single linkage); tau and start_s identify a session of the key. All taus share one ordering of the rows: each
+    has a running start of its own, and a row is repeated for the taus only when all is known.
     """
-    known = with_previous(df, key, second, order, block_s=block_s)
-    swept = known.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus]))).withColumn("_block", F.floor(F.col(second) / block_s))
-    opens = F.col("prev_s").isNull() | (F.col(second) - F.col("prev_s") > F.col("tau"))
-    marked = swept.withColumn("_open", F.when(opens, F.col(second)))
+    known = with_previous(df, key, second, order, block_s=block_s).withColumn("_block", F.floor(F.col(second) / block_s))
+    gap = F.col(second) - F.col("prev_s")
+    every = range(len(taus))
+    marked = known.withColumns({f"_open{k}": F.when(F.coalesce(gap > taus[k], F.lit(True)), F.col(second)) for k in every})
     # rows of one second are in one session, so the running start needs no tie-break
-    along = Window.partitionBy("tau", key, "_block").orderBy(second).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = marked.withColumn("_start", F.max("_open").over(along))
-    summary = marked.groupBy("tau", key, "_block").agg(F.max("_open").alias("_last"))
-    earlier = Window.partitionBy("tau", key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(F.col("tau").alias("_t"), F.col(key).alias("_k"), F.col("_block").alias("_b"), F.max("_last").over(earlier).alias("_carried"))
-    on = (F.col("tau") == F.col("_t")) & (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b"))
-    return inside.join(carried, on).select(*df.columns, "tau", F.coalesce("_start", "_carried").alias("start_s"))
+    along = Window.partitionBy(key, "_block").orderBy(second).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = marked.withColumns({f"_start{k}": F.max(f"_open{k}").over(along) for k in every})
+    summary = marked.groupBy(key, "_block").agg(*[F.max(f"_open{k}").alias(f"_last{k}") for k in every])
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), *[F.max(f"_last{k}").over(earlier).alias(f"_carried{k}") for k in every])
+    joined = inside.join(carried, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    each = F.explode(F.array(*[F.struct(F.lit(taus[k]).alias("tau"), F.coalesce(f"_start{k}", f"_carried{k}").alias("start_s")) for k in every])).alias("_t")
+    return joined.select(*df.columns, each).select(*df.columns, "_t.tau", "_t.start_s")
 
 
-def numbered_sessions(sessions: DataFrame, key: str) -> DataFrame:
+def numbered_sessions(sessions: DataFrame, key: str, ws: Workspace) -> DataFrame:
     """(tau, key, start_s, cluster_id): sessions of each tau numbered from 0 in (key, time) order.
 
-    Numbered inside each key, then offset by the sessions of the keys before; only one row a key is ever ordered globally.
+    Numbered inside each key, then offset by the sessions of the keys before: those of the same range of keys and, with one row a range, of all
+    ranges before. So neither all sessions nor all keys are ever ordered in one task.
     """
     one = sessions.select("tau", key, "start_s").distinct()
     within = one.withColumn("_at", F.row_number().over(Window.partitionBy("tau", key).orderBy("start_s")))
     sizes = one.groupBy("tau", key).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("tau").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("tau", key, before.alias("_offset"))
-    return within.join(offsets, ["tau", key]).select("tau", key, "start_s", (F.col("_offset") + F.col("_at") - 1).alias("cluster_id"))
+    # a range exchange numbers its partitions in the order of the keys; written, so that the numbers stay what they are
+    ranged = ws.keep(sizes.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("tau", "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("tau", "_range").agg(F.sum("_n").alias("_r"))
+    earlier = Window.partitionBy("tau").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("tau", "_range", F.coalesce(F.sum("_r").over(earlier), F.lit(0)).alias("_before"))
+    offsets = ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(before), ["tau", "_range"])
+    joined = within.join(offsets.select("tau", key, (F.col("_inside") + F.col("_before")).alias("_offset")), ["tau", key])
+    return joined.select("tau", key, "start_s", (F.col("_offset") + F.col("_at") - 1).alias("cluster_id"))
 
 
 def leakage(sessions: DataFrame, key: str, split: str = "split") -> DataFrame:

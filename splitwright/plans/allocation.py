@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import allocate as A
@@ -57,15 +58,14 @@ def unit_feasibility_all_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feasible(spark: SparkSession, d: str, taus: Sequence[int]) -> DataFrame:
-    ws = Workspace(spark, "feasible")
-    images, boxes, classes, components = _inputs(spark, d, ws)
-    out = None
-    for tau in taus:
-        units = ws.keep(A.build_units(images, components, tau))
-        per, cls = A.describe_units(units, images, boxes)
-        one = A.feasibility(cls, per, classes, f"tau={tau}s")
-        out = one if out is None else out.unionByName(one)
-    return out
+    images, boxes, classes, components = _inputs(spark, d, Workspace(spark, "feasible"))
+    # the gaps are swept in one pass
+    cls = A.describe_units(A.build_units(images, components, taus), images, boxes)[1]
+    return A.feasibility(cls.withColumn("setting", _setting("tau")), classes, [f"tau={t}s" for t in taus])
+
+
+def _setting(tau: str) -> Column:
+    return F.concat(F.lit("tau="), F.col(tau).cast("string"), F.lit("s"))
 
 
 def _allocated(images: DataFrame, boxes: DataFrame, classes: DataFrame, components: DataFrame, tau: int, ws: Workspace):
@@ -112,15 +112,23 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     ws = Workspace(spark, "sweep")
     images, boxes, classes, components = _inputs(spark, d, ws)
     pairs = ws.keep(scenes._listed_pairs(spark, d).where("not low").select("a", "b", F.least("raw", "aligned").alias("d")).where("d <= 0.05"))
-    rows = []
-    for tau in SWEEP:
-        units, per, result = _allocated(images, boxes, classes, components, tau, ws)
-        after = ws.keep(A.assignment_after(units, images, result.moves))
-        counts = per.agg(F.count("*").alias("n"), F.count_if("mixed").alias("s")).first()
+    # units of all gaps in one pass; the allocations, one for each gap, are small and independent
+    units = ws.keep(A.build_units(images, components, SWEEP))
+    per, cls = (ws.keep(df) for df in A.describe_units(units, images, boxes))
+
+    def one(tau: int) -> dict:
+        at = F.col("tau") == tau
+        own, mine = units.where(at).drop("tau"), per.where(at).drop("tau")
+        result = A.allocate(mine, cls.where(at).drop("tau"), boxes, images, classes, ws, LEAST)
+        after = ws.keep(A.assignment_after(own, images, result.moves))
+        counts = mine.agg(F.count("*").alias("n"), F.count_if("mixed").alias("s")).first()
         moved = after.where(~F.col("before").eqNullSafe(F.col("after"))).count()
         held = A.sizes_held(after).where("before <> after").isEmpty()
         cross = _cross_pairs(pairs, after, images)
-        rows.append(dict(tau=tau, units=counts["n"], straddling=counts["s"], moved=moved, unmet=len(result.unmet), held=held, cross=cross, ok=held and not result.unmet and not cross))
+        return dict(tau=tau, units=counts["n"], straddling=counts["s"], moved=moved, unmet=len(result.unmet), held=held, cross=cross, ok=held and not result.unmet and not cross)
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(one, SWEEP))
     return A.sweep_table(rows, spark)
 
 

@@ -37,8 +37,9 @@ def burst_metrics_by_tau(spark: SparkSession, d: str) -> DataFrame:
 
 def burst_membership(spark: SparkSession, d: str) -> DataFrame:
     """Each timed image's burst at 15 s, numbered over all devices, with the burst's splits."""
-    sessions = Workspace(spark, "sessions").keep(T.session_starts(_images(spark, d), "key", "second", ["image_id"], [15]))
-    numbered = T.numbered_sessions(sessions, "key")
+    ws = Workspace(spark, "sessions")
+    sessions = ws.keep(T.session_starts(_images(spark, d), "key", "second", ["image_id"], [15]))
+    numbered = T.numbered_sessions(sessions, "key", ws)
     splits = sessions.groupBy("key", "start_s").agg(F.array_join(F.sort_array(F.collect_set("split")), "|").alias("splits_present"), F.count("*").alias("cluster_size"))
     return sessions.join(numbered, ["tau", "key", "start_s"]).join(splits, ["key", "start_s"]).select("image_id", "key", "cluster_id", "cluster_size", "splits_present")
 

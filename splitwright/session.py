@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,12 +90,11 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-        self._next = 0
+        self._next = count()  # several threads may keep tables
         atexit.register(self._remove, self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self._next:04d}"
-        self._next += 1
+        path = f"{self.base}/{next(self._next):04d}"
         df.write.mode("overwrite").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._splitwright_path = path

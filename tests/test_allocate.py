@@ -2,6 +2,8 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from splitwright.operators import allocate as A
 from splitwright.plans import allocation as P
 from tests.oracle import DATA
@@ -56,7 +58,7 @@ def test_feasibility_verdicts(spark):
     units = spark.createDataFrame([("a",), ("b",), ("c",)], "unit string")
     cls = spark.createDataFrame([("a", 1, 6), ("b", 1, 5), ("a", 2, 9), ("a", 3, 1), ("b", 3, 9)], "unit string, class_id int, n_boxes long")
     classes = spark.createDataFrame([(k, str(k)) for k in (1, 2, 3, 4)], "class_id int, class_name string")
-    got = {r["class_id"]: r["verdict"] for r in A.feasibility(cls, units, classes, "x").collect()}
+    got = {r["class_id"]: r["verdict"] for r in A.feasibility(cls.withColumn("setting", F.lit("x")), classes, ["x"]).collect()}
     assert got == {1: "has_alternatives", 2: "single_unit", 3: "insufficient", 4: "absent"}
 
 

@@ -39,10 +39,10 @@ def test_gap_equal_to_tau_joins(spark):
     assert sorted((r["id"], r["start_s"]) for r in T.session_starts(df, "key", "second", ["id"], [15]).collect()) == [(1, 0), (2, 0), (3, 31)]
 
 
-def test_numbering_follows_key_and_time(spark, rows):
+def test_numbering_follows_key_and_time(spark, ws, rows):
     df = frame(spark, [(1, "b", 0, None), (2, "a", 50, None), (3, "a", 0, None)])
     s = T.session_starts(df, "key", "second", ["id"], [10])
-    assert rows(T.numbered_sessions(s, "key").select("key", "start_s", "cluster_id")) == [("a", 0, 0), ("a", 50, 1), ("b", 0, 2)]
+    assert rows(T.numbered_sessions(s, "key", ws).select("key", "start_s", "cluster_id")) == [("a", 0, 0), ("a", 50, 1), ("b", 0, 2)]
 
 
 def test_leakage_invariants_and_upper_median(spark):
