@@ -45,17 +45,6 @@ def scene_pairs_scored(spark: SparkSession, d: str) -> DataFrame:
     return scenes.scored_pairs(_signed(spark, d), max(EPSILONS), ws=Workspace(spark, "signed"))
 
 
-def scene_pairs_unique(spark: SparkSession, d: str) -> DataFrame:
-    """Raw scores of pairs in which each class occurs once: there the matching is a join by class."""
-    signed = _signed(spark, d).where((~F.col("signature").rlike(r":([2-9]|\d\d)")) & (F.col("n_boxes") >= 4))
-    pairs = scenes.blocked_pairs(signed, "image_id", ["xs", "ys", "n_boxes"])
-    d2 = F.transform(
-        F.arrays_zip(F.col("a_xs").alias("ax"), F.col("a_ys").alias("ay"), F.col("b_xs").alias("bx"), F.col("b_ys").alias("by")),
-        lambda p: F.sqrt((p["ax"] - p["bx"]) * (p["ax"] - p["bx"]) + (p["ay"] - p["by"]) * (p["ay"] - p["by"])),
-    )
-    return pairs.select("a_image_id", "b_image_id", F.col("a_n_boxes").alias("n_boxes"), F.round(F.array_max(d2), 5).alias("raw_max_dist"))
-
-
 def scene_metrics_by_epsilon(spark: SparkSession, d: str) -> DataFrame:
     """Scored pairs by state, scoring, epsilon and low-info flag: cross-split pairs by relation."""
     images = frames.current_splits(frames.image_frame(table(spark, d, "images")), table(spark, d, "images"), table(spark, d, "groups_moved")).select("image_id", "split", "moved_split")
@@ -183,7 +172,7 @@ def box_shifts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        multiset_buckets, candidate_counts, scene_pairs_scored, scene_pairs_unique, scene_metrics_by_epsilon, contamination_three_way, evaluation_twins,
+        multiset_buckets, candidate_counts, scene_pairs_scored, scene_metrics_by_epsilon, contamination_three_way, evaluation_twins,
         pairs_touching_moves, stem_components, family_redundancy, closest_pairs, box_shifts, contamination_every_split, evaluation_twins_every_split,
         closest_pairs_every_split,
     )
@@ -203,15 +192,32 @@ _COMP = _BASE + f""", v AS (SELECT DISTINCT stem AS id FROM img WHERE family = '
   w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r(id, other) AS (SELECT id, id FROM v UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.other), comp AS (SELECT id, min(other) AS component FROM r GROUP BY id)"""
 
+# the greedy matching: a fold over the pairs of boxes, nearest first, that takes a pair if neither box is taken
+_FOLD = """list_reduce({0}, lambda t, e: CASE WHEN (t.ui >> e.i) & 1 = 0 AND (t.uj >> e.j) & 1 = 0 THEN {{'ui': t.ui | (1::BIGINT << e.i), 'uj': t.uj | (1::BIGINT << e.j), 'm': greatest(t.m, e.d), 't': t.t + e.d, 'o': t.o + e.o}} ELSE t END,
+    {{'ui': 0::BIGINT, 'uj': 0::BIGINT, 'm': 0::DOUBLE, 't': 0::DOUBLE, 'o': 0::DOUBLE}})"""
+_OVERLAP = "greatest(0, least(x.cx + x.w / 2, y.cx + y.w / 2) - greatest(x.cx - x.w / 2, y.cx - y.w / 2)) * greatest(0, least(x.cy + x.h / 2, y.cy + y.h / 2) - greatest(x.cy - x.h / 2, y.cy - y.h / 2))"
+_SCORED = _SIG.replace("WITH ", "", 1).removeprefix(f"{IMG}, ") + f""", pb AS (SELECT image_id, class_id, cx, cy, w, h, (row_number() OVER (PARTITION BY image_id ORDER BY class_id, cx, cy, w, h) - 1)::INT AS i,
+    cx - avg(cx) OVER (PARTITION BY image_id) AS sx, cy - avg(cy) OVER (PARTITION BY image_id) AS sy FROM box),
+  ed AS (SELECT p.image_id AS a, q.image_id AS b, p.n_boxes, x.i, y.i AS j, sqrt((x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy)) AS d, sqrt((x.sx - y.sx) * (x.sx - y.sx) + (x.sy - y.sy) * (x.sy - y.sy)) AS s,
+    {_OVERLAP} AS common, x.w * x.h + y.w * y.h AS area FROM sig p JOIN sig q ON p.signature = q.signature AND p.image_id < q.image_id JOIN pb x ON x.image_id = p.image_id JOIN pb y ON y.image_id = q.image_id AND y.class_id = x.class_id),
+  li AS (SELECT a, b, n_boxes, list({{'d': d, 'i': i, 'j': j, 'o': common / (area - common)}} ORDER BY d, i, j) AS r, list({{'d': s, 'i': i, 'j': j, 'o': 0::DOUBLE}} ORDER BY s, i, j) AS l FROM ed GROUP BY ALL),
+  rd AS (SELECT a, b, n_boxes, {_FOLD.format('r')} AS p, {_FOLD.format('l')} AS q FROM li),
+  scored AS (SELECT a AS a_image_id, b AS b_image_id, n_boxes, round(p.m, 5) AS raw_max_dist, round(p.t / n_boxes, 5) AS raw_mean_dist, round(q.m, 5) AS aligned_max_dist, round(p.o / n_boxes, 5) AS mean_iou, n_boxes <= 2 AS low_info
+    FROM rd WHERE least(p.m, q.m) <= 0.05)"""
+
 ORACLES = {
     "multiset_buckets": _SIG + " SELECT * FROM bk WHERE n_images > 1",
     "candidate_counts": _SIG
     + """ SELECT count(*) AS n_buckets, count(*) FILTER (WHERE n_images > 1) AS shared_buckets, coalesce(sum(n_pairs) FILTER (WHERE NOT skipped), 0)::BIGINT AS pairs, coalesce(sum(n_pairs) FILTER (WHERE skipped), 0)::BIGINT AS skipped_pairs,
   (sum(n_images) * (sum(n_images) - 1) / 2)::BIGINT AS all_pairs FROM bk""",
-    "scene_pairs_unique": _SIG
-    + """, u AS (SELECT image_id, signature, n_boxes FROM sig JOIN bk USING (signature) WHERE most = 1 AND n_boxes >= 4 AND NOT skipped)
-SELECT a.image_id AS a_image_id, b.image_id AS b_image_id, a.n_boxes, round(max(sqrt((x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy))), 5) AS raw_max_dist FROM u a JOIN u b ON a.signature = b.signature AND a.image_id < b.image_id
-  JOIN box x ON x.image_id = a.image_id JOIN box y ON y.image_id = b.image_id AND y.class_id = x.class_id GROUP BY ALL""",
+    "scene_pairs_scored": f"WITH {IMG}, {_SCORED}" + " SELECT * FROM scored",
+    "scene_metrics_by_epsilon": f"WITH {STATES}, {_SCORED}, g AS (SELECT s.state, k.scoring, e.epsilon, x.excl_low, CASE s.state WHEN 'listed' THEN p.split ELSE p.moved_split END AS sa, CASE s.state WHEN 'listed' THEN q.split ELSE q.moved_split END AS sb"
+    + """
+  FROM scored JOIN st p ON p.image_id = a_image_id JOIN st q ON q.image_id = b_image_id, (VALUES ('listed'), ('moved')) s(state), (VALUES ('raw'), ('aligned')) k(scoring), (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon), (VALUES (false), (true)) x(excl_low)
+  WHERE CASE k.scoring WHEN 'raw' THEN raw_max_dist ELSE aligned_max_dist END <= e.epsilon AND NOT (x.excl_low AND low_info))
+SELECT state, scoring, epsilon, excl_low, count(*) AS pairs, count(*) FILTER (WHERE sa <> sb) AS "cross", """
+    + ", ".join(f"count(*) FILTER (WHERE least(sa, sb) = '{min(a, b)}' AND greatest(sa, sb) = '{max(a, b)}') AS {a}_{b}" for a, b in (("test", "train"), ("valid", "train"), ("test", "valid")))
+    + " FROM g GROUP BY ALL",
     "contamination_three_way": _BASE
     + """, g AS (SELECT s.state, k.scoring, e.epsilon, x.excl_low, CASE s.state WHEN 'listed' THEN p.listed ELSE p.moved END AS sa, CASE s.state WHEN 'listed' THEN q.listed ELSE q.moved END AS sb
   FROM lp JOIN ss p ON p.stem = lp.a JOIN ss q ON q.stem = lp.b, (VALUES ('listed'), ('moved')) s(state), (VALUES ('raw'), ('aligned')) k(scoring), (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon), (VALUES (false), (true)) x(excl_low)
