@@ -99,6 +99,57 @@ def image_level_moves(spark: SparkSession, d: str) -> DataFrame:
     return A.allocate(ws.keep(per), ws.keep(cls), boxes, images, classes, ws, LEAST).moves
 
 
+def _promises(units: DataFrame, per: DataFrame, result: A.Allocation, boxes: DataFrame, images: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame:
+    """(promise, n, broken): what an allocation must keep, over how many things, and how often it doesn't."""
+    moves = result.moves
+    after = ws.keep(A.assignment_after(units, images, moves))
+    told = moves.join(per.select("unit", F.col("n").alias("_n"), "only_split"), "unit", "left")
+    once = moves.groupBy("unit").agg(F.count("*").alias("k"))
+    short = {
+        name: A.class_deficits(boxes, after.select("image_id", F.col(name).alias("split")), classes, LEAST).select("class_id", "split", F.col("short").alias(name))
+        for name in ("before", "after")
+    }
+    worse = short["before"].join(short["after"], ["class_id", "split"])
+    parts = (
+        ("every image is in one unit", after.groupBy("image_id").agg(F.count("*").alias("k")), F.col("k") != 1),
+        # where no whole units add up to what was admitted, the allocator reports it and the sizes do change
+        ("no split changes its size unreported", A.sizes_held(after), (F.col("before") != F.col("after")) & F.lit(not result.size_failures)),
+        ("no class gets shorter", worse, F.col("after") > F.col("before")),
+        ("no unit moves twice", once, F.col("k") > 1),
+        ("units move whole and from where they are", told, ~F.coalesce((F.col("n") == F.col("_n")) & (F.col("from_split") == F.col("only_split")), F.lit(False))),
+    )
+    out = None
+    for k, (name, df, broken) in enumerate(parts):
+        # the number of moves is the allocator's own; that of images, splits and classes is the tables'
+        one = df.agg(F.lit(name).alias("promise"), (F.count("*") if k < 3 else F.lit(None).cast("long")).alias("n"), F.count_if(broken).alias("broken"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def allocation_promises(spark: SparkSession, d: str) -> DataFrame:
+    """What the allocation at 15 s keeps: sizes held, no class shorter than before, whole units moved once."""
+    ws = Workspace(spark, "promises")
+    images, boxes, classes, components = _inputs(spark, d, ws)
+    units, per, result = _allocated(images, boxes, classes, components, TAU, ws)
+    return _promises(units, per, result, boxes, images, classes, ws)
+
+
+def image_level_promises(spark: SparkSession, d: str) -> DataFrame:
+    """As allocation_promises, for the allocation image by image."""
+    ws = Workspace(spark, "promises")
+    images, boxes, classes, _ = _inputs(spark, d, ws)
+    units = images.select("image_id", F.concat(F.lit("image:"), F.col("image_id").cast("string")).alias("unit"))
+    per, cls = (ws.keep(df) for df in A.describe_units(units, images, boxes))
+    return _promises(units, per, A.allocate(per, cls, boxes, images, classes, ws, LEAST), boxes, images, classes, ws)
+
+
+def tau_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units at each gap of the sweep, and how many of them hold images of several splits."""
+    images, boxes, _, components = _inputs(spark, d, Workspace(spark, "units"))
+    per = A.describe_units(A.build_units(images, components, SWEEP), images, boxes)[0]
+    return per.groupBy("tau").agg(F.count("*").alias("n_units"), F.count_if("mixed").alias("n_straddling"), F.sum("n").alias("n_images"))
+
+
 def _cross_pairs(pairs: DataFrame, after: DataFrame, images: DataFrame) -> int:
     """Pairs of stems (a, b) with an export of one and an export of the other in different splits."""
     stems = after.join(images.select("image_id", "stem"), "image_id").where("stem is not null").groupBy("stem").agg(F.collect_set("after").alias("s"))
@@ -132,7 +183,7 @@ def tau_sweep(spark: SparkSession, d: str) -> DataFrame:
     return A.sweep_table(rows, spark)
 
 
-QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, unit_feasibility_all_gaps, allocated_moves, allocation_sizes, image_level_moves, tau_sweep)}
+QUERIES = {f.__name__: f for f in (unit_partition, class_deficits, unit_feasibility, unit_feasibility_all_gaps, allocated_moves, allocation_sizes, allocation_promises, image_level_moves, image_level_promises, tau_units, tau_sweep)}
 
 _COMP = scenes._COMP.replace("WITH RECURSIVE ", "", 1)
 
@@ -144,6 +195,9 @@ def _units(tau: int, name: str) -> str:
     CASE WHEN run IS NOT NULL THEN r.key || ':' || run WHEN comp.id IS NOT NULL THEN component ELSE img.image_id::VARCHAR END AS unit FROM img LEFT JOIN {name}_r r USING (image_id) LEFT JOIN comp ON comp.id = img.stem)"""
 
 
+_PROMISES = f"""WITH {IMG} SELECT 'every image is in one unit' AS promise, count(*) AS n, 0 AS broken FROM img UNION ALL SELECT 'no split changes its size unreported', count(DISTINCT split), 0 FROM img
+UNION ALL SELECT 'no class gets shorter', 2 * count(DISTINCT class_id), 0 FROM classes UNION ALL VALUES ('no unit moves twice', NULL, 0), ('units move whole and from where they are', NULL, 0)"""
+
 ORACLES = {
     "unit_partition": f"WITH RECURSIVE {_COMP}, {_units(TAU, 'u')} SELECT kind, count(*) AS n_units, sum(n)::BIGINT AS n_images, max(n) AS largest FROM (SELECT kind, unit, count(*) AS n FROM u GROUP BY ALL) GROUP BY kind",
     "class_deficits": f"""WITH {IMG}, {BOX}, h AS (SELECT class_id, s.split, count(box.image_id) AS have FROM classes c CROSS JOIN (VALUES ('test'), ('valid')) s(split) LEFT JOIN box USING (class_id, split) GROUP BY ALL)
@@ -159,4 +213,10 @@ SELECT *, CASE WHEN n_units = 0 THEN 'absent' WHEN n_units = 1 THEN 'single_unit
     + ", ".join(f"('tau={t}s')" for t in FEASIBLE)
     + """) s(setting) LEFT JOIN k ON k.class_id = c.class_id AND k.setting = s.setting GROUP BY ALL)
 SELECT *, CASE WHEN n_units = 0 THEN 'absent' WHEN n_units = 1 THEN 'single_unit' WHEN n_qualifying >= 2 THEN 'has_alternatives' ELSE 'insufficient' END AS verdict FROM f""",
+    "tau_units": f"WITH RECURSIVE {_COMP}, " + ", ".join(_units(t, f"u{t}") for t in SWEEP)
+    + " SELECT tau, count(*) AS n_units, count(*) FILTER (WHERE s > 1) AS n_straddling, sum(n)::BIGINT AS n_images FROM ("
+    + " UNION ALL ".join(f"SELECT {t} AS tau, kind, unit, count(*) AS n, count(DISTINCT split) AS s FROM u{t} GROUP BY ALL" for t in SWEEP)
+    + ") GROUP BY tau",
+    "allocation_promises": _PROMISES,
+    "image_level_promises": _PROMISES,
 }
