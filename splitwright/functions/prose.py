@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Abbreviations whose full stop ends no sentence, and commands that must not be run.
+# Abbreviations whose full stop ends no sentence, and commands that must not be run,
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "cf.", "Fig.", "Eq.", "vs.", "approx.", "No.")
+# reason: pattern at the start of a part of a command line, in any case; and what excuses it
 DENIED = {
-    "removes everything": r"\Arm\s+(-\w*[rf]\w*\s+)+(/|~|\*|\.)(\s|\z)",
-    "rewrites history": r"\Agit\s+(push\s+.*(--force|-f)(\s|\z)|reset\s+--hard)",
-    "writes to a device": r"\Add\s+.*\bof=/dev/",
-    "runs what it downloads": r"\A(curl|wget)\b.*\|\s*(ba|z)?sh(\s|\z)",
-    "changes all rights": r"\Achmod\s+(-\w+\s+)*777(\s|\z)",
+    "detached checkout": (r"git\s+(checkout|switch)\s(.*\s)?--detach\b", None),
+    "discards changes": (r"git\s+checkout\s(.*\s)?--(\s|\z)", None),
+    "checkout of a commit": (r"git\s+checkout\s(.*\s)?([0-9a-f]{7,40}|\S*(@\{|[~^])\S*)(\s|\z)", r"\s-b(\s|\z)"),
+    "clone over the network": (r"git\s+clone\s(.*\s)?((https?|ssh|git|ftps?)://|[^-/\\@\s][^/\\@\s]*@[^/\\:\s]+:|[a-z0-9][a-z0-9._-]*\.[a-z]{2,}:)", None),
+    "deletes or moves files": (r"(rm|rmdir|rd|del|erase|mv|remove-item|move-item|rename-item|clear-content|ri|ren)(\s|\z)|git\s+(rm|clean)\b", None),
+    "rewrites history": (r"git\s+(rebase|filter-branch)\b|git\s+reset\b.*--hard\b|git\s+commit\b.*--amend\b|git\s+push\b.*(--force|\s-f\b|\s\+\S)", None),
+    "installs packages": (r"(pip3?|conda|npm|npx|winget|choco|mpm|miktex|install-module|install-package)(\s|\z)|python\s+-m\s+pip(\s|\z)|.*\.ps1\s(.*\s)?-allowinstall\b", None),
+    "downloads": (r"(curl|wget|invoke-webrequest|invoke-restmethod|iwr|irm|start-bitstransfer)(\s|\z)", None),
+    "writes to a device": (r"dd\s+.*\bof=/dev/", None),
+    "changes all rights": (r"chmod\s+(-\w+\s+)*777(\s|\z)", None),
 }
 
 
@@ -107,16 +113,25 @@ def citation_audit(uses: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("key", F.coalesce("n", F.lit(0)).alias("n_uses"), verdict.alias("verdict"))
 
 
+def command_parts(command: Column) -> Column:
+    """The parts of a command line between its separators, a single pipe too, without what only wraps the command."""
+    parts = F.transform(F.split(command, r"&&|\|\||[;\n|]"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"\A(?:(?:sudo|env|nohup|time|\w+=\S*)\s+)+", "")))
+    return F.filter(parts, lambda p: p != "")
+
+
 def denied_reason(command: Column | str) -> Column:
-    """Why a command line must not be run, or null; each of its parts is judged, and what a wrapper runs is judged too."""
-    c = F.col(command) if isinstance(command, str) else command
-    parts = F.split(c, r"\s*(?:&&|\|\||;|\n)\s*")
-    bare = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"\A(?:(?:sudo|env|nohup|time|\w+=\S*)\s+)+", ""))
-    out = F.lit(None).cast("string")
-    for reason, pattern in reversed(DENIED.items()):
-        out = F.when(_any_matches(bare, pattern), F.lit(reason)).otherwise(out)
-    return out
-
-
-def _any_matches(parts: Column, pattern: str) -> Column:
-    return F.exists(parts, lambda p: p.rlike(pattern))
+    """Why a command line must not be run, or null: the reason of its first part that has one.
+
+    A part is judged by what it begins with, so a word inside a message is no command; a separator inside a quoted text does end a part, which
+    errs on the safe side. Null and empty give null.
+    """
+
+    def judged(part: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for reason, (pattern, excuse) in reversed(DENIED.items()):
+            hit = part.rlike(rf"(?i)\A(?:{pattern})")
+            out = F.when(hit & ~part.rlike(rf"(?i){excuse}") if excuse else hit, F.lit(reason)).otherwise(out)
+        return out
+
+    parts = command_parts(F.col(command) if isinstance(command, str) else command)
+    return F.get(F.filter(F.transform(parts, judged), lambda r: r.isNotNull()), F.lit(0))

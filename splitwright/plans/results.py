@@ -14,21 +14,20 @@ from .data_problems import _MERGED
 from .splits import _VALID, BOX
 from .timeline import IMG
 
-#: A training curve that diverges: run, epoch, two metrics, two losses; NaN and blank are different things.
-CURVE = [
-    ("a", 1, 0.10, 0.05, 2.9, 3.1),
-    ("a", 2, 0.22, 0.11, 2.1, float("nan")),
-    ("a", 3, 0.31, 0.16, 1.8, 2.6),
-    ("a", 4, 0.31, 0.16, float("nan"), float("nan")),
-    ("a", 5, 0.05, 0.01, float("nan"), None),
-    ("b", 1, 0.12, 0.06, 2.7, 2.9),
-    ("b", 2, 0.40, 0.21, 1.9, 2.2),
-    ("b", 3, 0.38, 0.22, 1.7, None),
-]
-
-
-def _curve(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CURVE, "run string, epoch int, map50 double, map95 double, train_loss double, val_loss double")
+def _curve(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a run and its lines as steps: two metrics, and two losses that are NaN on some lines and missing on others."""
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.max(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity", "l_extendedprice")]
+    )
+    return one.select(
+        F.col("l_orderkey").alias("run"),
+        F.col("l_linenumber").alias("epoch"),
+        F.col("l_discount").alias("map50"),
+        F.col("l_tax").alias("map95"),
+        F.when(F.col("l_returnflag") == "R", nan).when(F.col("l_returnflag") == "A", none).otherwise(F.col("l_quantity").cast("double")).alias("train_loss"),
+        F.when(F.col("l_linestatus") == "O", nan).otherwise(F.col("l_extendedprice").cast("double")).alias("val_loss"),
+    )
 
 
 def pair_gap_repeatability(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +61,12 @@ def rank_change(spark: SparkSession, d: str) -> DataFrame:
 
 def nan_onset(spark: SparkSession, d: str) -> DataFrame:
     """The epoch at which each column of a curve turns NaN, and where it recovers."""
-    return R.nan_onset(_curve(spark), "run", "epoch", ["train_loss", "val_loss"])
+    return R.nan_onset(_curve(spark, d), "run", "epoch", ["train_loss", "val_loss"])
 
 
 def best_epoch(spark: SparkSession, d: str) -> DataFrame:
     """The epoch of the best fitness, 0.1 map50 + 0.9 map95."""
-    return R.best_step(_curve(spark), "run", "epoch", {"map50": 0.1, "map95": 0.9})
+    return R.best_step(_curve(spark, d), "run", "epoch", {"map50": 0.1, "map95": 0.9})
 
 
 def unanimous_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -187,9 +186,8 @@ QUERIES = {
 _GAPS = """WITH g AS (SELECT l_orderkey, l_linenumber, count(l_extendedprice) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY ALL),
   p AS (SELECT l_orderkey, l_linenumber, n, CASE WHEN n = 2 THEN round((hi + lo) / 2, 6) END AS mean, CASE WHEN n = 2 THEN round(hi - lo, 6) END AS gap, CASE WHEN n = 2 AND hi + lo > 0 THEN round(100 * (hi - lo) / ((hi + lo) / 2), 4) END AS pct_of_mean,
   CASE WHEN n = 2 AND hi > 0 THEN round(100 * (hi - lo) / hi, 4) END AS pct_of_max, CASE WHEN n = 2 AND lo > 0 THEN round(100 * (hi - lo) / lo, 4) END AS pct_of_min, CASE WHEN n = 2 THEN 'pair' ELSE 'warning' END AS verdict FROM g)"""
-_CURVE = "WITH c(run, epoch, map50, map95, train_loss, val_loss) AS (VALUES " + ", ".join(
-    "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else "'nan'::DOUBLE" if v != v else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in CURVE
-) + ")"
+_CURVE = """WITH l AS (SELECT l_orderkey AS run, l_linenumber AS epoch, max(l_returnflag) AS f, max(l_linestatus) AS s, max(l_discount) AS map50, max(l_tax) AS map95, max(l_quantity) AS q, max(l_extendedprice) AS p FROM lineitem GROUP BY ALL),
+  c AS (SELECT run, epoch, map50, map95, CASE f WHEN 'R' THEN 'nan'::DOUBLE WHEN 'A' THEN NULL ELSE q END AS train_loss, CASE s WHEN 'O' THEN 'nan'::DOUBLE ELSE p END AS val_loss FROM l)"""
 ORACLES = {
     "closest_account_balances": """WITH p AS (SELECT c_acctbal, min(c_custkey) AS k FROM customer GROUP BY 1), n AS (SELECT lag(k) OVER w AS a, k AS b, c_acctbal - lag(c_acctbal) OVER w AS gap, c_acctbal FROM p WINDOW w AS (ORDER BY c_acctbal, k))
 SELECT a, b, round(gap, 6) AS gap FROM n WHERE a IS NOT NULL ORDER BY n.gap, c_acctbal, a, b LIMIT 3""",
@@ -206,7 +204,8 @@ SELECT *, rank_all - rank_returned AS change FROM r WHERE rank_all <> rank_retur
     "nan_onset": _CURVE
     + """, u AS (SELECT run, epoch, 'train_loss' AS "column", train_loss AS v FROM c UNION ALL SELECT run, epoch, 'val_loss', val_loss FROM c),
   f AS (SELECT run, "column", min(epoch) FILTER (WHERE isnan(v)) AS first_nan, count(*) FILTER (WHERE isnan(v)) AS n_nan FROM u GROUP BY ALL)
-SELECT f.run, f."column", first_nan, n_nan, coalesce((SELECT string_agg(epoch::VARCHAR, '|' ORDER BY epoch) FROM u WHERE u.run = f.run AND u."column" = f."column" AND NOT isnan(v) AND epoch > first_nan), '') AS recovered FROM f""",
+SELECT f.run, f."column", first_nan, n_nan, coalesce(string_agg(epoch::VARCHAR, '|' ORDER BY epoch) FILTER (WHERE NOT isnan(v) AND epoch > first_nan), '') AS recovered
+FROM f JOIN u ON u.run = f.run AND u."column" = f."column" GROUP BY ALL""",
     "best_epoch": _CURVE
     + """, s AS (SELECT run, epoch, 0.0::DOUBLE + map50 * 0.1::DOUBLE + map95 * 0.9::DOUBLE AS fit FROM c) SELECT run, epoch AS best_step, round(fit, 6) AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY fit DESC, epoch) AS k FROM s) WHERE k = 1""",
     "unanimous_fields": f"""WITH {S.manifest('v1', 'manifest_v1', 'v1_split')}, m AS (SELECT * FROM v1 WHERE device IS NOT NULL), u AS (SELECT DISTINCT device, 'background' AS field, background AS v FROM m WHERE background IS NOT NULL UNION SELECT device, 'claimed', claimed FROM m WHERE claimed IS NOT NULL)

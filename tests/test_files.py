@@ -138,6 +138,6 @@ def test_prose(spark, rows):
     assert rows(prose.paragraphs(lines)) == [("f", 1, 1, "end of the The line"), ("f", 2, 4, "x")]
 
 
-@pytest.mark.parametrize("command, denied", [("rm -rf /", True), ("ls; sudo rm -fr ~", True), ("rm -r build/x", False), ("git push -f", True), ("git push origin main", False), ("echo 'rm'", False), ("dd if=a of=/dev/sda", True), ("", False)])
+@pytest.mark.parametrize("command, denied", [("rm -rf /", True), ("ls; sudo rm -fr ~", True), ("rm -r build/x", True), ("git push -f", True), ("git push origin main", False), ("echo 'rm'", False), ("dd if=a of=/dev/sda", True), ("", False)])
 def test_guard(spark, command, denied):
     assert (spark.createDataFrame([(command,)], "c string").select(prose.denied_reason("c")).first()[0] is not None) is denied
