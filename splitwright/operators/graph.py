@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, ws: Workspace, i
         ws.drop(live)
         live = after
         # the rounds are over when the set of links no longer changes
-        now = live.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") / 2.0**32)).first()
+        now = live.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
         if now == mark:
             break
         mark = now
@@ -49,10 +51,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, ws: Workspace, i
     return joined.select(ident, F.coalesce("v", ident).alias("component"))
 
 
-def redundancy(components: DataFrame, ident: str = "id") -> DataFrame:
-    """(n, components, multi, largest, redundant): redundant is how many could go if one of each component stayed."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("_s"))
-    return sizes.agg(
+def redundancy(components: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, components, multi, largest, redundant): redundant is how many could go if one of each component stayed."""
+    sizes = components.groupBy(*by, "component").agg(F.count("*").alias("_s"))
+    return sizes.groupBy(*by).agg(
         F.coalesce(F.sum("_s"), F.lit(0)).alias("n"),
         F.count("*").alias("components"),
         F.count_if(F.col("_s") > 1).alias("multi"),

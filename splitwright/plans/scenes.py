@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -146,6 +146,22 @@ def family_redundancy(spark: SparkSession, d: str) -> DataFrame:
     return graph.redundancy(stem_components(spark, d))
 
 
+def redundancy_by_epsilon(spark: SparkSession, d: str) -> DataFrame:
+    """Components and redundancy of the counter-named stems by scoring and epsilon: all settings in one run, each its own copy of the graph."""
+    ws = Workspace(spark, "redundancy")
+    settings = F.array(*[F.struct(F.lit(k).alias("scoring"), F.lit(e).alias("epsilon")) for k in ("raw", "aligned") for e in EPSILONS])
+
+    def at(stem: str) -> Column:
+        return F.struct(F.col("s.scoring").alias("scoring"), F.col("s.epsilon").alias("epsilon"), F.col(stem).alias("stem"))
+
+    stems = ws.keep(frames.image_frame(table(spark, d, "images")).where("family = 'counter' and stem is not null").select("stem").distinct())
+    known = {e: stems.select(F.col("stem").alias(e)) for e in "ab"}
+    pairs = _listed_pairs(spark, d).where("not low").join(known["a"], "a", "left_semi").join(known["b"], "b", "left_semi").withColumn("s", F.explode(settings))
+    near = pairs.where(F.when(F.col("s.scoring") == "raw", F.col("raw")).otherwise(F.col("aligned")) <= F.col("s.epsilon")).select(at("a").alias("a"), at("b").alias("b"))
+    found = graph.connected_components(stems.withColumn("s", F.explode(settings)).select(at("stem").alias("id")), near, ws)
+    return graph.redundancy(found.select("id.scoring", "id.epsilon", "component"), ["scoring", "epsilon"])
+
+
 def closest_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The five closest listed pairs of each relation between splits."""
     states = _stem_states(spark, d).select("stem", "listed")
@@ -173,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         multiset_buckets, candidate_counts, scene_pairs_scored, scene_metrics_by_epsilon, contamination_three_way, evaluation_twins,
-        pairs_touching_moves, stem_components, family_redundancy, closest_pairs, box_shifts, contamination_every_split, evaluation_twins_every_split,
+        pairs_touching_moves, stem_components, family_redundancy, redundancy_by_epsilon, closest_pairs, box_shifts, contamination_every_split, evaluation_twins_every_split,
         closest_pairs_every_split,
     )
 }
@@ -250,6 +266,14 @@ WHERE other = 'train' AND own IN ('test', 'valid') AND d <= epsilon GROUP BY eps
     "family_redundancy": _COMP
     + """ SELECT coalesce(sum(s), 0)::BIGINT AS n, count(*) AS components, count(*) FILTER (WHERE s > 1) AS multi, coalesce(max(s), 0) AS largest, (coalesce(sum(s), 0) - count(*))::BIGINT AS redundant
 FROM (SELECT count(*) AS s FROM comp GROUP BY component)""",
+    "redundancy_by_epsilon": f"""WITH RECURSIVE {STATES}, {_LP}, g(scoring, epsilon) AS (SELECT * FROM (VALUES ('raw'), ('aligned')) k(scoring), (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE)) e(epsilon)),
+  v AS (SELECT DISTINCT stem AS id FROM img WHERE family = 'counter' AND stem IS NOT NULL),
+  e AS (SELECT scoring, epsilon, a, b FROM lp, g WHERE CASE scoring WHEN 'raw' THEN raw ELSE aligned END <= epsilon AND NOT low AND a IN (SELECT id FROM v) AND b IN (SELECT id FROM v)),
+  w AS (SELECT * FROM e UNION SELECT scoring, epsilon, b, a FROM e),
+  r(scoring, epsilon, id, other) AS (SELECT scoring, epsilon, id, id FROM v, g UNION SELECT r.scoring, r.epsilon, r.id, w.b FROM r JOIN w ON w.a = r.other AND w.scoring = r.scoring AND w.epsilon = r.epsilon),
+  c AS (SELECT scoring, epsilon, id, min(other) AS component FROM r GROUP BY ALL)
+SELECT scoring, epsilon, sum(s)::BIGINT AS n, count(*) AS components, count(*) FILTER (WHERE s > 1) AS multi, max(s) AS largest, (sum(s) - count(*))::BIGINT AS redundant
+FROM (SELECT scoring, epsilon, component, count(*) AS s FROM c GROUP BY ALL) GROUP BY ALL""",
     "closest_pairs": _BASE
     + """ SELECT relation, rank::INT AS rank, raw, a, b FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY raw, a, b) AS rank FROM (
   SELECT least(p.listed, q.listed) || '<->' || greatest(p.listed, q.listed) AS relation, raw, a, b FROM lp JOIN ss p ON p.stem = a JOIN ss q ON q.stem = b WHERE NOT low AND raw IS NOT NULL AND p.listed <> q.listed)) WHERE rank <= 5""",

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import coverage as C
 from ..operators import frames
+from ..operators import results as R
 from ..operators import splits as P
+from ..session import Workspace
+from ..sources import sinks
 from ..sources.tables import table
 from . import sqltext as S
 from .timeline import IMG, STATES
@@ -75,6 +78,19 @@ def box_coverage(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def build_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What a built data set must keep: labels beside images, no orphans, ids and numbers in range, no label twice."""
+    return sinks.build_checks(*[table(spark, d, t) for t in ("images", "boxes", "classes")])
+
+
+def classes_by_area(spark: SparkSession, d: str) -> DataFrame:
+    """Classes from the largest mean box to the smallest, then by name; those without a box come last."""
+    mean = _boxes(spark, d).groupBy("class_id").agg(F.round(F.avg(F.round(F.col("w") * F.col("h"), 9).cast("decimal(12,9)")).cast("double"), 6).alias("mean_area"))
+    classes = table(spark, d, "classes").join(mean, "class_id", "left")
+    order = [F.col("mean_area").isNull(), -F.coalesce("mean_area", F.lit(0.0)), F.col("class_name")]
+    return classes.join(R.global_ranks(classes, order, "class_id", Workspace(spark, "areas")), "class_id").select("rank", "class_id", "class_name", "mean_area")
+
+
 def ratio_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Each capture group's shares against 70/20/10."""
     return P.ratio_by_group(_images(spark, d).withColumn("capture_group", C.or_label("capture_group", "<no group>")), "capture_group")
@@ -125,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_split_counts, never_evaluated, test_count_thresholds, date_split_summary, classes_by_date, rejected_boxes, box_coverage, ratio_by_group,
-        deviation_by_shape, ratios_dated, split_transitions, changes_by_group, moved_images, moves_by_date,
+        deviation_by_shape, ratios_dated, split_transitions, changes_by_group, moved_images, moves_by_date, build_checks, classes_by_area,
     )
 }
 
@@ -148,6 +164,15 @@ _COPIES = f"""WITH {S.manifest('v1', 'manifest_v1', 'v1_split')}, {S.manifest('v
   c AS (SELECT v1.capture_group, v1.device, v1.claimed AS v1, v2.claimed AS v2 FROM v1 JOIN v2 USING (stem))"""
 
 ORACLES = {
+    "build_checks": f"""WITH f AS (SELECT DISTINCT filename AS name FROM images WHERE filename IS NOT NULL), l AS (SELECT DISTINCT image AS name FROM boxes WHERE image IS NOT NULL), t AS (
+  SELECT 'images have labels' AS "check", count(*) AS n, count(*) FILTER (WHERE name NOT IN (SELECT name FROM l)) AS violations FROM f
+  UNION ALL SELECT 'labels have images', count(*), count(*) FILTER (WHERE name NOT IN (SELECT name FROM f)) FROM l
+  UNION ALL SELECT 'class ids are known', count(*), count(*) FILTER (WHERE class_id IS NULL OR class_id NOT IN (SELECT class_id FROM classes)) FROM boxes
+  UNION ALL SELECT 'numbers are in range', count(*), count(*) FILTER (WHERE NOT coalesce({_VALID}, false)) FROM boxes
+  UNION ALL SELECT 'no label is repeated', coalesce(sum(k), 0)::BIGINT, coalesce(sum(k - 1), 0)::BIGINT FROM (SELECT count(*) AS k FROM boxes GROUP BY image, class_id, cx, cy, w, h))
+SELECT *, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM t""",
+    "classes_by_area": f"""WITH {IMG}, {BOX}, m AS (SELECT class_id, round(avg(round(w * h, 9)::DECIMAL(12, 9)), 6) AS mean_area FROM box GROUP BY 1)
+SELECT row_number() OVER (ORDER BY mean_area DESC NULLS LAST, class_name) AS rank, class_id, class_name, mean_area FROM classes LEFT JOIN m USING (class_id)""",
     "class_split_counts": _CSC + " SELECT * FROM csc",
     "never_evaluated": _CSC
     + """ SELECT class_id, class_name, CASE WHEN images_valid = 0 AND images_test = 0 THEN 'neither' WHEN images_test = 0 THEN 'not in test' ELSE 'not in valid' END AS verdict FROM csc WHERE images_valid = 0 OR images_test = 0""",

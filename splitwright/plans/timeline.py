@@ -97,6 +97,17 @@ def adjacency_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def sessions_opened(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts at 15 s that were whole in one split and that the groups' moves opened, with the share of their images that went elsewhere."""
+    sessions = T.session_starts(_states(spark, d), "key", "second", ["image_id"], [15])
+    distinct = {c: F.count_distinct(c) for c in ("split", "moved_split")}
+    per = sessions.groupBy("key", "start_s").agg(
+        F.count("*").alias("n_images"), F.count_if(F.col("split") != F.col("moved_split")).alias("n_moved"), *[n.alias(f"n_{c}") for c, n in distinct.items()]
+    )
+    opened = per.where("n_split = 1 and n_moved_split > 1")
+    return opened.select("key", "start_s", "n_images", "n_moved", F.round(F.col("n_moved") / F.col("n_images"), 4).alias("share"))
+
+
 def adjacency_created_removed(spark: SparkSession, d: str) -> DataFrame:
     """Cross-split neighbour pairs that the groups' moves created or removed."""
     pairs = T.consecutive_pairs(_states(spark, d), "key", "second", "image_id", 15, ["split", "moved_split"])
@@ -133,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         burst_metrics_by_tau, burst_membership, excluded_from_timeline, gap_histogram, min_cross_split_gap, tightest_cross_pairs,
-        adjacency_counts, adjacency_created_removed, contiguous_runs, consecutive_counters, repeated_counters,
+        adjacency_counts, adjacency_created_removed, sessions_opened, contiguous_runs, consecutive_counters, repeated_counters,
     )
 }
 
@@ -205,6 +216,10 @@ SELECT bin, coalesce(k, 0) AS n FROM bins LEFT JOIN g ON bin IS NOT DISTINCT FRO
     ),
     "adjacency_created_removed": f"""WITH {STATES}, {_NEIGHBOURS}, close AS (SELECT *, coalesce(a_split <> b_split, false) AS p, coalesce(a_moved <> b_moved, false) AS q FROM nb WHERE gap_s <= 15)
 SELECT a_image_id, b_image_id, CASE WHEN q THEN 'created' ELSE 'removed' END AS change FROM close WHERE p <> q""",
+    "sessions_opened": f"""WITH {STATES}, c AS (SELECT *, CASE WHEN second - lag(second) OVER (PARTITION BY key ORDER BY second, image_id) <= 15 THEN 0 ELSE 1 END AS c FROM st WHERE second IS NOT NULL AND key IS NOT NULL),
+  r AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY second, image_id) AS run FROM c),
+  g AS (SELECT key, min(second) AS start_s, count(*) AS n_images, count(*) FILTER (WHERE split <> moved_split) AS n_moved, count(DISTINCT split) AS a, count(DISTINCT moved_split) AS b FROM r GROUP BY key, run)
+SELECT key, start_s, n_images, n_moved, round(n_moved / n_images, 4) AS share FROM g WHERE a = 1 AND b > 1""",
     "contiguous_runs": f"""WITH {IMG}, l AS (SELECT DISTINCT {S.stem('image_name')} AS s FROM manifest_v1),
   p AS (SELECT family, bucket, l.s IS NULL AS missing, row_number() OVER (PARTITION BY family, bucket ORDER BY second, image_id) AS place FROM img LEFT JOIN l ON l.s = img.stem
     WHERE second IS NOT NULL AND regexp_full_match(bucket, '\\d{{8}}')),

@@ -100,6 +100,16 @@ class Workspace:
         kept._splitwright_path = path
         return kept
 
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Removes all tables; frames read from them can't be used after that."""
+        self._remove(self.base)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_splitwright_path", None)
         if path:

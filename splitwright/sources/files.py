@@ -147,6 +147,19 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files of no bytes under a folder, which no reader gives rows for: the listing that Spark keeps on the driver, less those with bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+
+    def length(path: str) -> int:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).getFileStatus(p).getLen()
+
+    return sorted(p for p in files.inputFiles() if length(p) == 0)
+
+
 def unindexed_text(index: Column) -> Column:
     """The text of an inverted index (map of word to places): words in order of place."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -98,6 +98,61 @@ def materialise(assignment: DataFrame, path: str, least: dict[str, int] | None =
     return before.unionByName(after)
 
 
+def build_checks(images: DataFrame, boxes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(check, n, violations, verdict) of a built data set: labels beside images, no orphans, ids and numbers in range, no label twice.
+
+    images: filename; boxes: image, class_id, cx, cy, w, h; classes: class_id. Null names count as none; empty tables pass.
+    """
+    files = images.where("filename is not null").select(F.col("filename").alias("name")).distinct()
+    labelled = boxes.where("image is not null").select(F.col("image").alias("name")).distinct()
+    both = files.withColumn("_f", F.lit(1)).join(labelled.withColumn("_l", F.lit(1)), "name", "full_outer")
+    known = classes.select("class_id", F.lit(1).alias("_k")).distinct()
+    marked = boxes.join(known, "class_id", "left")
+    inside = F.lit(True)
+    for c in ("cx", "cy", "w", "h"):
+        inside = inside & F.coalesce((F.col(c) > 0) & (F.col(c) <= 1), F.lit(False))
+    repeated = boxes.groupBy("image", "class_id", "cx", "cy", "w", "h").agg((F.count("*") - 1).alias("k"))
+    parts = (
+        both.agg(F.lit("images have labels").alias("check"), F.count("_f").alias("n"), F.count_if(F.col("_f").isNotNull() & F.col("_l").isNull()).alias("violations")),
+        both.agg(F.lit("labels have images").alias("check"), F.count("_l").alias("n"), F.count_if(F.col("_l").isNotNull() & F.col("_f").isNull()).alias("violations")),
+        marked.agg(F.lit("class ids are known").alias("check"), F.count("*").alias("n"), F.count_if(F.col("_k").isNull()).alias("violations")),
+        marked.agg(F.lit("numbers are in range").alias("check"), F.count("*").alias("n"), F.count_if(~inside).alias("violations")),
+        repeated.agg(F.lit("no label is repeated").alias("check"), F.coalesce(F.sum(F.col("k") + 1), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("violations")),
+    )
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out.withColumn("verdict", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+
+
+#: Numbers that prose writes as words.
+WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+
+
+def number_word(c: Column | str) -> Column:
+    """A small whole number as a word, a larger one in digits with separators; null gives null."""
+    n = F.col(c) if isinstance(c, str) else c
+    return F.when(n.between(0, len(WORDS) - 1), F.get(F.array(*[F.lit(w) for w in WORDS]), n.cast("int"))).otherwise(F.format_number(n, 0))
+
+
+def latex_table(df: DataFrame, caption: str, label: str, most: int = 200) -> str:
+    """A booktabs table of a small result: numbers to the right, texts to the left, every cell escaped; larger ones are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    numbers = [t in ("int", "bigint", "smallint", "tinyint", "float", "double") or t.startswith("decimal") for _, t in df.dtypes]
+
+    def cell(v: object) -> str:
+        out = "--" if v is None else str(v)
+        for plain in ("\\", "&", "%", "$", "#", "_", "{", "}"):
+            out = out.replace(plain, "\\textbackslash " if plain == "\\" else "\\" + plain)
+        return out
+
+    body = [" & ".join(cell(v) for v in r) + r" \\" for r in rows]
+    head = [r"\begin{table}", r"\centering", rf"\caption{{{cell(caption)}}}", rf"\label{{{label}}}", r"\begin{tabular}{" + "".join("r" if n else "l" for n in numbers) + "}", r"\toprule"]
+    return "\n".join([*head, " & ".join(cell(c) for c in df.columns) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+
+
 def correct_field(df: DataFrame, condition: Column, field: str, old: str, new: str, expected: int) -> tuple[DataFrame, bool]:
     """The frame with one field corrected where the condition holds and the old value stands; whether anything was to do.
 

@@ -141,3 +141,39 @@ def test_prose(spark, rows):
 @pytest.mark.parametrize("command, denied", [("rm -rf /", True), ("ls; sudo rm -fr ~", True), ("rm -r build/x", True), ("git push -f", True), ("git push origin main", False), ("echo 'rm'", False), ("dd if=a of=/dev/sda", True), ("", False)])
 def test_guard(spark, command, denied):
     assert (spark.createDataFrame([(command,)], "c string").select(prose.denied_reason("c")).first()[0] is not None) is denied
+
+
+def test_numbers_as_words_and_tables(spark):
+    df = spark.createDataFrame([(0,), (12,), (13,), (1300,), (None,)], "n long")
+    assert [r[0] for r in df.select(sinks.number_word("n")).collect()] == ["zero", "twelve", "13", "1,300", None]
+    text = sinks.latex_table(spark.createDataFrame([("a_b", 5, None)], "name string, n int, x double"), "50 % of it", "t:one")
+    assert r"a\_b & 5 & -- \\" in text and r"\caption{50 \% of it}" in text and "{lrr}" in text and r"\toprule" in text
+
+
+def test_a_built_data_set_is_checked(spark, rows):
+    images = spark.createDataFrame([("a.jpg",), ("b.jpg",), (None,), ("a.jpg",)], "filename string")
+    boxes = spark.createDataFrame(
+        [("a.jpg", 1, 0.5, 0.5, 0.1, 0.1), ("a.jpg", 1, 0.5, 0.5, 0.1, 0.1), ("c.jpg", 9, 0.5, None, 0.1, 1.2)], "image string, class_id int, cx double, cy double, w double, h double"
+    )
+    classes = spark.createDataFrame([(1,)], "class_id int")
+    got = {r["check"]: (r["n"], r["violations"]) for r in sinks.build_checks(images, boxes, classes).collect()}
+    assert got == {"images have labels": (2, 1), "labels have images": (2, 1), "class ids are known": (3, 1), "numbers are in range": (3, 1), "no label is repeated": (3, 1)}
+    assert all(r["verdict"] == "PASS" for r in sinks.build_checks(images.limit(0), boxes.limit(0), classes).collect())
+
+
+def test_files_of_no_bytes_are_listed(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.jpg").write_bytes(b"x")
+    (tmp_path / "sub" / "b.jpg").write_bytes(b"")
+    assert [p.rsplit("/", 1)[-1] for p in files.empty_files(spark, str(tmp_path))] == ["b.jpg"]
+
+
+def test_a_workspace_ends_with_its_block(spark):
+    from splitwright.session import Workspace
+
+    with Workspace(spark, "block") as ws:
+        df = ws.keep(spark.range(3).toDF("k"))
+        assert df.count() == 3
+        path = df._splitwright_path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
