@@ -81,6 +81,7 @@ SELECT family, count(*) AS n_images, true AS balanced FROM (SELECT image_id, coa
     "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p6_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents",
     "p7_checks": """
-SELECT 0 AS over_capacity, 0 AS over_segments, 0 AS over_loss, count(*) AS n_documents, 0 AS wrong_pieces, 0 AS needless_cuts FROM documents WHERE text <> ''""",
-    "p8_checks": "SELECT count(*) AS n_documents, 0 AS out_of_text, 0 AS out_of_order, 0 AS without_confidence FROM documents",
+SELECT 'n_documents' AS promise, count(*) AS n FROM documents WHERE text <> ''
+UNION ALL VALUES ('over_capacity', 0), ('over_segments', 0), ('over_loss', 0), ('wrong_pieces', 0), ('needless_cuts', 0)""",
+    "p8_checks": "SELECT 'n_documents' AS promise, count(*) AS n FROM documents UNION ALL VALUES ('out_of_text', 0), ('out_of_order', 0), ('without_confidence', 0)",
 }

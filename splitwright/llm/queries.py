@@ -119,9 +119,9 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """Images the shares want in each split, and whether the plan has as many, give or take one."""
     at = _plan(spark, d).assignment
     n = at.groupBy("split").agg(F.count("*").alias("n"))
-    total = at.agg(F.count("*").alias("total"))
-    wanted = spark.createDataFrame(list(keep_together.SHARES.items()), "split string, share double").join(total)
-    both = wanted.join(n, "split", "left").select("split", (F.col("share") * F.col("total")).alias("want"), F.coalesce("n", F.lit(0)).alias("n"))
+    total = at.count()
+    wanted = spark.createDataFrame([(s, p * total) for s, p in keep_together.SHARES.items()], "split string, want double")
+    both = wanted.join(n, "split", "left").select("split", "want", F.coalesce("n", F.lit(0)).alias("n"))
     return both.select("split", F.round("want", 1).alias("wanted"), (F.abs(F.col("n") - F.col("want")) <= 1).alias("met"))
 
 
@@ -155,6 +155,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(pack.pieces(table(spark, d, "documents")), Workspace(spark, "p7"))
 
 
+def _as_rows(one: DataFrame) -> DataFrame:
+    """(promise, n): the columns of a frame of one row as rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("promise"), F.col(c).cast("long").alias("n")) for c in one.columns]))
+    return one.select(each.alias("e")).select("e.promise", "e.n")
+
+
 def _used(containers: DataFrame) -> DataFrame:
     return containers.groupBy("container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"))
 
@@ -191,7 +197,7 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
         F.count_if((F.col("n") != F.col("pieces")) | (F.col("n") != F.col("last") + 1)).alias("wrong_pieces"),
         F.count_if(F.col("n") != F.ceil(F.col("tokens") / pack.CAPACITY)).alias("needless_cuts"),
     )
-    return used.crossJoin(whole)  # one row by one row
+    return _as_rows(used).unionByName(_as_rows(whole))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +227,7 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
         F.count_if((F.col("start") < F.col("before")) | (F.col("lang") == F.col("lang_before"))).alias("out_of_order"),
         F.count_if(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("without_confidence"),
     )
-    return found.agg(F.count_distinct("doc_id").alias("n_documents")).crossJoin(wrong)  # one row by one row
+    return _as_rows(found.agg(F.count_distinct("doc_id").alias("n_documents"))).unionByName(_as_rows(wrong))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
