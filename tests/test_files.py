@@ -177,3 +177,26 @@ def test_a_workspace_ends_with_its_block(spark):
         path = df._splitwright_path
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path).count()
+
+
+def test_nearest_in_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from splitwright.operators import nearest as near
+
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(120, 4)).round(2)
+    vectors[7] = 0
+    vectors[40] = vectors[41]
+    rows = [(k, v.tolist(), "clash") for k, v in enumerate(vectors)] + [(None, [1.0] * 4, ""), (500, None, "")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, _block string")
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    cosine = (unit @ unit.T).round(6)
+    for block, part in ((2_000, 40_000), (3, 17)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "PART", part)
+        got = {(r["id"], r["rank"]): r["near_id"] for r in near.nearest(df, "id", "v", 10, 3).collect()}
+        for q in range(0, 120, 10):
+            others = sorted((-cosine[q, j], j) for j in range(120) if j not in (q, 7))
+            assert [got[q, k] for k in (1, 2, 3)] == [j for _, j in others[:3]]
+    assert near.nearest(df.limit(0), "id", "v", 10, 3).count() == 0
