@@ -31,17 +31,21 @@ SHARES = {"train": 0.7, "valid": 0.2, "test": 0.1}
 SHARD = 2_000
 CHAINS = 3
 STEPS = 12
+#: Tasks for each core among which the searches are dealt, if there are as many.
+SEARCH_TASKS = 4
 #: A component of more than 1/HEAVY of all images goes into the first pass.
 HEAVY = 1_000
 
 
 def _vertices(images: DataFrame) -> DataFrame:
-    """image_id, the kind and name of the vertex an image hangs on, and its group."""
-    s = N.stem("filename")
-    return images.where("image_id is not null").select(
+    """image_id, the kind and name of the vertex an image hangs on, and its group; a row for each listing."""
+    # the stem is read once, the pass that reads it is the only one over the images
+    named = images.where("image_id is not null").withColumn("stem", N.stem("filename"))
+    s = F.col("stem")
+    return named.select(
         "image_id",
         "group_id",
-        s.alias("stem"),
+        "stem",
         F.when(s.isNotNull(), "stem").when(F.col("group_id").isNotNull(), "group").otherwise("image").alias("kind"),
         F.coalesce(s, F.col("group_id").cast("string"), F.col("image_id").cast("string")).alias("name"),
         N.split_label("split").alias("listed"),
@@ -49,22 +53,31 @@ def _vertices(images: DataFrame) -> DataFrame:
     )
 
 
-def image_components(images: DataFrame, ws: Workspace) -> DataFrame:
-    """(image_id, component, group_id, stem, listed, label), one row for each distinct listing of an image.
+def image_components(listings: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(image_id, component, label), one row for each image, and (group_id, component).
 
-    Images sharing a group_id or a stem are tied; an image with neither is a component of its own. Rows
-    without image_id are no images.
+    listings: as ``_vertices`` gives them, kept. Images sharing a group_id or a stem are tied; an image with neither is a component of its own.
     """
-    v = _vertices(images)
-    # an image listed twice under different names ties them: its own vertex is the link
-    own = F.col("image_id").cast("string")
-    ties = v.select(F.lit("image").alias("kind_a"), own.alias("name_a"), F.col("kind").alias("kind_b"), F.col("name").alias("name_b"))
-    grouped = v.where("group_id is not null").select(
-        F.lit("image").alias("kind_a"), own.alias("name_a"), F.lit("group").alias("kind_b"), F.col("group_id").cast("string").alias("name_b")
+    vertex = F.struct("kind", "name")
+    per = ws.keep(
+        listings.groupBy("image_id")
+        .agg(F.min(vertex).alias("a"), F.max(vertex).alias("b"), F.coalesce(F.min("label"), F.lit("")).alias("label"))
+        .select("image_id", "label", F.col("a.kind").alias("kind"), F.col("a.name").alias("name"), (F.col("a") != F.col("b")).alias("several"))
     )
-    links = ties.unionByName(grouped).distinct().withColumn("level", F.lit(0))
-    found = named_components(links, ws).where("kind = 'image'").select(F.col("name").cast("long").alias("image_id"), F.col("root").alias("component"))
-    return v.join(found, "image_id").select("image_id", "component", "group_id", "stem", "listed", "label").distinct()
+    # a stem is tied to its group; a vertex that has no other to be tied to, to itself
+    both = F.col("stem").isNotNull() & F.col("group_id").isNotNull()
+    links = listings.select(
+        F.col("kind").alias("kind_a"), F.col("name").alias("name_a"),
+        F.when(both, "group").otherwise(F.col("kind")).alias("kind_b"), F.when(both, F.col("group_id").cast("string")).otherwise(F.col("name")).alias("name_b"),
+    )
+    # an image listed under different names ties them
+    several = ws.keep(per.where("several").select("image_id", F.col("kind").alias("kind_a"), F.col("name").alias("name_a")))
+    if not several.isEmpty():
+        again = listings.select("image_id", F.col("kind").alias("kind_b"), F.col("name").alias("name_b"))
+        links = links.unionByName(several.join(again, "image_id").drop("image_id"))
+    found = named_components(links.withColumn("level", F.lit(0)), ws).select("kind", "name", F.col("root").alias("component"))
+    of_group = found.where("kind = 'group'").select(F.col("name").cast("long").alias("group_id"), "component")
+    return per.join(found, ["kind", "name"]).select("image_id", "component", "label"), of_group
 
 
 def latest_moves(moves: DataFrame) -> DataFrame:
@@ -88,28 +101,36 @@ def _bit(split: Column) -> Column:
     return F.when(split == "train", 1).when(split == "valid", 2).when(split == "test", 4).otherwise(0)
 
 
-def present_state(placed: DataFrame, moves: DataFrame) -> DataFrame:
+def with_moves(listings: DataFrame, moves: DataFrame) -> DataFrame:
+    """The listings with the bit of each one's current split and moved_images of its group's latest move."""
+    # a moved group is where its move put it, even if that can't be read
+    current = F.when(F.col("moved").isNotNull(), F.col("moved_to")).otherwise(F.col("listed"))
+    last = latest_moves(moves).withColumn("moved", F.lit(True))
+    return listings.join(last, "group_id", "left").withColumn("bit", _bit(current)).drop("moved", "moved_to", "listed")
+
+
+def present_state(now: DataFrame, ws: Workspace) -> DataFrame:
     """(group_id, n_images, moved_images, splits, torn) of every group with images as things stand now.
 
-    splits is a bit set (train 1, valid 2, test 4) of the current splits of the group's images and of all
+    now: as ``with_moves`` gives it. splits is a bit set (train 1, valid 2, test 4) of the current splits of the group's images and of all
     images that share a stem with one of them; unknown splits aside. torn: more than one of them, or the latest move
     knew of fewer images than the group has.
     """
-    # a moved group is where its move put it, even if that can't be read
-    current = F.when(F.col("moved").isNotNull(), F.col("moved_to")).otherwise(F.col("listed"))
-    last = latest_moves(moves).withColumn("moved", F.lit(True))
-    now = placed.join(last, "group_id", "left").select("image_id", "group_id", "stem", _bit(current).alias("bit"))
-    by_stem = now.where("stem is not null").groupBy("stem").agg(F.bit_or("bit").alias("bits"))
-    own = now.where("group_id is not null").groupBy("group_id", "stem").agg(F.bit_or("bit").alias("bit"))
-    shared = (
-        own.join(by_stem, "stem", "left")
+    by_stem = now.where("stem is not null").groupBy("stem").agg(F.bit_or("bit").alias("bits"), F.min("bit").alias("least"), F.max("bit").alias("most"))
+    # a stem whose images all have the same split tells a group nothing that its own image doesn't
+    mixed = ws.keep(by_stem.where("least != most").select("stem", "bits"))
+    state = (
+        now.where("group_id is not null")
+        .join(mixed, "stem", "left")
         .groupBy("group_id")
-        .agg(F.bit_or(F.col("bit").bitwiseOR(F.coalesce("bits", F.lit(0)))).alias("splits"))
+        .agg(
+            F.count_distinct("image_id").alias("n_images"),
+            F.max("moved_images").alias("moved_images"),  # the same in all rows of a group
+            F.bit_or(F.col("bit").bitwiseOR(F.coalesce("bits", F.lit(0)))).alias("splits"),
+        )
     )
-    counted = now.where("group_id is not null").groupBy("group_id").agg(F.count_distinct("image_id").alias("n_images"))
-    joined = shared.join(counted, "group_id").join(latest_moves(moves), "group_id", "left")
     torn = (F.bit_count("splits") > 1) | F.coalesce(F.col("moved_images") < F.col("n_images"), F.lit(False))
-    return joined.select("group_id", "n_images", "moved_images", "splits", torn.alias("torn"))
+    return state.withColumn("torn", torn)
 
 
 def anneal(rows: list[list[tuple[int, float]]], wanted: np.ndarray, weight: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
@@ -136,7 +157,9 @@ def anneal(rows: list[list[tuple[int, float]]], wanted: np.ndarray, weight: np.n
         fa, fb, out = off[a], off[b], 0.0
         for c, v in shift:
             x, y = fa[c], fb[c]
-            out += w[c] * (max(x - v, 0.0) - max(x, 0.0) + max(y + v, 0.0) - max(y, 0.0))
+            p, q = x - v, y + v
+            # comparisons in place of max(), which takes twice as long
+            out += w[c] * ((p if p > 0.0 else 0.0) - (x if x > 0.0 else 0.0) + (q if q > 0.0 else 0.0) - (y if y > 0.0 else 0.0))
         return out
 
     def take(a: int, b: int, shift: list[tuple[int, float]]) -> None:
@@ -145,14 +168,24 @@ def anneal(rows: list[list[tuple[int, float]]], wanted: np.ndarray, weight: np.n
             fa[c] -= v
             fb[c] += v
 
-    def between(i: int, j: int) -> list[tuple[int, float]]:
-        net = dict(rows[i])
-        for c, v in rows[j]:
-            net[c] = net.get(c, 0.0) - v
-        return list(net.items())
+    # components that bring the same are of one kind; what exchanging two kinds shifts is worked out once
+    kinds: dict[tuple[tuple[int, float], ...], int] = {}
+    kind = [kinds.setdefault(tuple(row), len(kinds)) for row in rows]
+    shifts: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
-    now = cost()
-    best, kept = now, list(at)
+    def between(i: int, j: int) -> list[tuple[int, float]]:
+        key = kind[i], kind[j]
+        found = shifts.get(key)
+        if found is None:
+            net = dict(rows[i])
+            for c, v in rows[j]:
+                net[c] = net.get(c, 0.0) - v
+            found = shifts[key] = [(c, v) for c, v in net.items() if v]
+        return found
+
+    now = best = cost()
+    # what was changed since the best state: (component, split it came from)
+    since: list[tuple[int, int]] = []
     if n:
         heat = max(now, 1e-6) / 10
         pick, other, to, luck = (x.tolist() for x in (rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, k, steps), rng.random(steps)))
@@ -170,16 +203,18 @@ def anneal(rows: list[list[tuple[int, float]]], wanted: np.ndarray, weight: np.n
             if d <= 0 or (warm > 0 and luck[t] < math.exp(-d / warm)):
                 take(a, b, shift)
                 at[i] = b
+                since.append((i, a))
                 if t % 2:
                     at[j] = a
+                    since.append((j, b))
                 now += d
                 if now < best - 1e-12:
-                    best, kept = now, list(at)
+                    best = now
+                    since.clear()
     # back to the best state, then downhill
-    for i in range(n):
-        if at[i] != kept[i]:
-            take(at[i], kept[i], rows[i])
-    at = kept
+    for i, a in reversed(since):
+        take(at[i], a, rows[i])
+        at[i] = a
     order = sorted(range(n), key=lambda i: (rows[i], i))
     helped = True
     while helped and cost() > 1e-12:
@@ -239,8 +274,8 @@ def _searched(comps: DataFrame, goals: DataFrame, order: list[str], share: list[
         cost, at = anneal(rows, wanted, weight, start, seed=(int(key[0]) + 1) * 1009 + int(key[1]), steps=steps * len(rows))
         return pd.DataFrame({"shard": key[0], "chain": key[1], "cost": cost, "component": ids, "at": at})
 
-    # as many tasks as there are searches, whatever their bytes
-    tasks = max(1, shards * chains)
+    # by the number of searches, whatever their bytes; a task, which writes a file, takes several only where all cores have enough of them
+    tasks = max(1, min(shards * chains, SEARCH_TASKS * ws.spark.sparkContext.defaultParallelism))
     left = comps.select("shard", chain, "component", "size", "labels").repartition(tasks, "shard", "chain")
     right = goals.select("shard", chain, "label", "want").repartition(tasks, "shard", "chain")
     tried = ws.keep(
@@ -291,22 +326,24 @@ def plan_splits(
     shares = shares or SHARES
     order = list(shares)
     share = [shares[s] / sum(shares.values()) for s in order]
-    placed = ws.keep(image_components(images, ws))
-    per = placed.groupBy("image_id").agg(F.first("component").alias("component"), F.coalesce(F.min("label"), F.lit("")).alias("label"))
+    now = ws.keep(with_moves(_vertices(images), moves))
+    per, group_components = image_components(now, ws)
     counts = per.groupBy("component", "label").agg(F.count("*").alias("k"))
     sized = ws.keep(counts.groupBy("component").agg(F.sum("k").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("labels")))
     total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-n // shard))
     heavy = F.col("size") * HEAVY > total
     # -1: the first pass; 0: the shard that comes last
-    comps = ws.keep(sized.withColumn("shard", F.when(heavy, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(shards))).cast("int")))
+    comps = sized.withColumn("shard", F.when(heavy, -1).otherwise(F.pmod(F.xxhash64("component"), F.lit(shards))).cast("int"))
     amounts = ws.keep(_amounts(comps, "shard"))
     all_of = amounts.groupBy("label").agg(F.sum("k").alias("k"))
+    # -1, 1 and 0: which of the three passes have components
+    passes = {r[0] for r in amounts.select(F.signum("shard").cast("int")).distinct().collect()}
     decided: DataFrame | None = None
-    for condition, tasks in (("shard = -1", 1), ("shard > 0", shards - 1), ("shard = 0", 1)):
-        mine = comps.where(condition)
-        if not tasks or mine.isEmpty():
+    for which, condition, tasks in ((-1, "shard = -1", 1), (1, "shard > 0", shards - 1), (0, "shard = 0", 1)):
+        if which not in passes:
             continue
+        mine = comps.where(condition)
         later = amounts.where(condition if condition == "shard = 0" else "shard >= 0")
         pool = later.groupBy("label").agg(F.sum("k").alias("k"))
         filled = None if decided is None else _amounts(comps.join(decided, "component"), "split")
@@ -316,19 +353,10 @@ def plan_splits(
             pool = own.join(all_of.withColumnsRenamed({"label": "_l", "k": "_all"}), F.col("label").eqNullSafe(F.col("_l"))).select("label", (2 * F.col("k") * F.col("_all") / (F.col("k") + F.col("_all"))).alias("k"))
         goals = _goals(all_of, filled, own, pool, order, share)
         found = ws.keep(_searched(mine, goals, order, share, tasks, chains, steps, ws))
-        decided = found if decided is None else ws.keep(decided.unionByName(found))
+        decided = found if decided is None else decided.unionByName(found)
     if decided is None:
-        decided = placed.select("component", F.lit(None).cast("string").alias("split"))
+        decided = per.select("component", F.lit(None).cast("string").alias("split"))
     assignment = per.select("image_id", "component").join(decided, "component").select("image_id", "component", "split")
-    of_group = placed.where("group_id is not null").select("group_id", "component").distinct().join(decided, "component").select("group_id", "split")
-    groups = present_state(placed, moves).join(of_group, "group_id").select("group_id", "split", "n_images", "moved_images", "torn")
+    of_group = group_components.join(decided, "component").select("group_id", "split")
+    groups = present_state(now, ws).join(of_group, "group_id").select("group_id", "split", "n_images", "moved_images", "torn")
     return SplitPlan(assignment, groups)
-
-
-def torn_groups(images: DataFrame, moves: DataFrame) -> DataFrame:
-    """group_id of the groups that the present splits tear apart: what the plan has to mend, read without planning.
-
-    As ``present_state`` says; null ids count for nothing, repeated listings once, no images no rows.
-    """
-    # a repeated listing changes no bit set and no distinct count
-    return present_state(_vertices(images).select("image_id", "group_id", "stem", "listed"), moves).where("torn").select("group_id")

@@ -80,8 +80,8 @@ def _plan(spark: SparkSession, d: str) -> keep_together.SplitPlan:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Groups that the present state of the splits tears apart."""
-    return keep_together.torn_groups(table(spark, d, "images"), table(spark, d, "groups_moved"))
+    """Groups that the present state of the splits tears apart, out of the plan that mends them."""
+    return _plan(spark, d).groups.where("torn").select("group_id")
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 
 from splitwright.llm import keep_together as K
+from splitwright.llm import queries
 
 IMAGES = "image_id long, filename string, split string, family string, group_id long, component long, bit int"
 MOVES = "move_id long, direction string, split string, group_id long, n_images int, moved_at timestamp_ntz, moved boolean"
@@ -66,6 +67,30 @@ def test_torn_groups(spark, ws):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: False}
 
 
+def test_found_groups_come_out_of_the_plan_that_mends_them(spark, monkeypatch, tmp_path):
+    # groups 0 to 39 of three images, every fourth torn; 100 is torn by a stem it shares with group 0
+    images = [(i, f"IMG_{10000 + i}.jpg", "test" if i % 12 == 2 else "train", "f", i // 3) for i in range(120)]
+    images += [(500, "img_10000.png", "train", "f", 100), (501, "IMG_10002.jpg", "train", "f", 100)]
+    spark.createDataFrame([(*i, 0, 0) for i in images], IMAGES).write.parquet(f"{tmp_path}/images.parquet")
+    spark.createDataFrame([], MOVES).write.parquet(f"{tmp_path}/groups_moved.parquet")
+    plans, real = [], K.plan_splits
+    monkeypatch.setattr(K, "plan_splits", lambda *args, **kw: plans.append(real(*args, **kw)) or plans[-1])
+    found = sorted(r["group_id"] for r in queries.p4_found(spark, str(tmp_path)).collect())
+    assert found == [*range(0, 40, 4), 100]
+    at = {}
+    for r in plans[0].groups.collect():
+        at.setdefault(r["group_id"], []).append(r["split"])
+    assert len(plans) == 1 and all(len(at[g]) == 1 for g in found) and at[0] == at[100]
+
+
+def test_images_under_several_names_tie_them(spark, ws):
+    images = [(1, "A.jpg", "train", "f", 1), (1, "B.jpg", "train", "f", None), (1, "C.jpg", "train", "f", 3), (2, "b.png", "train", "f", None), (3, "D.jpg", "train", "f", 3)]
+    images += [(4, None, "train", "f", 5), (4, "E.jpg", "train", "f", None), (5, "E.jpg", "train", "f", None), (6, None, "train", "f", None), (7, "F.jpg", "train", "f", 5), (8, None, "train", "f", None)]
+    at = {r["image_id"]: r["component"] for r in plan(spark, ws, images).assignment.collect()}
+    assert len(at) == 8 and at[1] == at[2] == at[3] and at[4] == at[5] == at[7]
+    assert len(set(at.values())) == 4
+
+
 def test_annealing_never_ends_worse_than_it_started():
     rng = np.random.default_rng(1)
     sizes, target = rng.integers(1, 30, 200), np.array([0.7, 0.2, 0.1])
